@@ -321,8 +321,9 @@ def _fit_numeric(
         ).first()
         counts.update({c: (row["rows"], row[f"n{i}"], row[f"a{i}"]) for i, c in enumerate(part)})
     known = [c for c in columns if counts[c][1]]  # columns without any value are dropped
+    given = {c: counts[c][1] for c in known}
     if strategy == "median":
-        fill = {c: q[0] for part in chunks(known) for c, q in exact_quantiles(data, part, [0.5]).items()}
+        fill = {c: q[0] for part in chunks(known) for c, q in exact_quantiles(data, part, [0.5], sizes=given).items()}
     elif strategy == "mean":
         fill = {c: counts[c][2] for c in known}
     elif strategy == "constant":
@@ -341,9 +342,10 @@ def _fit_numeric(
         *[F.col(c).isNull().cast("double").alias(f"{c}_missing") for c in flags],
     )
     names = filled.columns
+    all_rows = {c: counts[known[0]][0] for c in names} if known else {}
     if scaler == "robust":
         for part in chunks(names):
-            for c, (low, middle, high) in exact_quantiles(filled, part, [0.25, 0.5, 0.75]).items():
+            for c, (low, middle, high) in exact_quantiles(filled, part, [0.25, 0.5, 0.75], sizes=all_rows).items():
                 fitted["center"][c], fitted["scale"][c] = middle, (high - low) or 1.0
     elif scaler == "standard":
         for part in chunks(names):

@@ -14,7 +14,7 @@ Three building blocks serve every ordered operator of the library:
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -118,10 +118,12 @@ def exact_quantiles(
     probabilities: Sequence[float],
     task_rows: int = TASK_ROWS,
     accuracy: int = SKETCH_ACCURACY,
+    sizes: Mapping[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of whole columns; the result is columns x probabilities numbers.
 
-    NULLs are ignored and the columns must be numeric. Two scans and no shuffle
+    NULLs are ignored and the columns must be numeric. ``sizes`` holds the known
+    counts of values, which saves a scan. Two scans and no shuffle
     of raw rows: the first bounds each wanted rank with a sketch, the second
     counts what lies below the bound and gathers only values inside it.
     """
@@ -131,8 +133,10 @@ def exact_quantiles(
     data = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     guard = 4.0 / accuracy
     points = sorted({min(1.0, max(0.0, p + d)) for p in probabilities for d in (-guard, guard)} | {0.0, 1.0})
-    sizes = data.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    counts = [sizes[f"n{i}"] for i in range(len(columns))]
+    if sizes is None:
+        found = data.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+        sizes = {c: found[f"n{i}"] for i, c in enumerate(columns)}
+    counts = [sizes[c] for c in columns]
     if max(counts) <= task_rows:
         wanted = F.array(*[F.lit(float(p)) for p in probabilities])
         row = data.agg(*[F.percentile(c, wanted).alias(f"q{i}") for i, c in enumerate(columns)]).first()

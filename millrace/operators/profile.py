@@ -110,7 +110,9 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             ],
             *[F.sum(f"m{i}").alias(f"miss{i}") for i, _ in part],
         ).first()
-        quantiles = exact_quantiles(clean, [f"x{i}" for i, _ in part], PROFILE_QUANTILES)
+        quantiles = exact_quantiles(
+            clean, [f"x{i}" for i, _ in part], PROFILE_QUANTILES, sizes={f"x{i}": stats[f"n{i}"] for i, _ in part}
+        )
         for i, c in part:
             has = stats[f"n{i}"] > 0
             keep = lambda v: round(float(v), 8) if has and v is not None else None  # noqa: B023, E731
