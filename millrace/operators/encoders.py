@@ -455,8 +455,9 @@ class CategoryEncoder(Estimator, _Settings, DefaultParamsReadable, DefaultParams
         if columns:
             fill = _fill_values(df, columns, config)
             fitted["fill"] = fill
-            flagged = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-            fitted["flags"] = [c for c in columns if config.get("add_indicator", False) and flagged[c]]
+            if config.get("add_indicator", False):
+                missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+                fitted["flags"] = [c for c in columns if missing[c]]
             filled = df.select(*[F.coalesce(value_text(df, c), F.lit(fill[c])).alias(c) for c in columns])
             table = materialize(
                 category_slots(filled, columns, "", config.get("min_frequency"), config.get("max_categories"))

@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,13 +48,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write to a table in the shared folder and read it back.
+
+    Computed once, survives the loss of any executor, cuts the lineage, and
+    gives later joins a known size.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """Checkpoint and learn the row count in the same job."""
-    seen = Observation()
-    saved = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")))
-    return saved, int(seen.get["n"])
+    """The written table and its row count (read from the file footers)."""
+    saved = materialize(df)
+    return saved, saved.count()
