@@ -83,6 +83,15 @@ def combined_category(df: DataFrame, names: Sequence[str]) -> Column:
     return F.concat_ws("_", *[category(df, n) for n in names])
 
 
+def add_all(terms: Sequence[Column]) -> Column:
+    """Sum as a balanced tree: hundreds of terms stay shallow, and compiled."""
+    terms = list(terms)
+    while len(terms) > 1:
+        pairs = [a + b for a, b in zip(terms[::2], terms[1::2])]
+        terms = pairs + terms[len(pairs) * 2 :]
+    return terms[0] if terms else F.lit(0)
+
+
 def missing_features(df: DataFrame, prefixes: Sequence[str], columns: Sequence[str] | None = None) -> dict[str, Column]:
     """Missing count and ratio per row, over all columns and per name prefix."""
     columns = list(columns or df.columns)
@@ -93,8 +102,7 @@ def missing_features(df: DataFrame, prefixes: Sequence[str], columns: Sequence[s
             groups.append((f"{prefix}_missing", members))
     out: dict[str, Column] = {}
     for label, members in groups:
-        flags = F.array(*[is_missing(df, c).cast("int") for c in members])
-        count = F.aggregate(flags, F.lit(0), lambda total, flag: total + flag)
+        count = add_all([is_missing(df, c).cast("int") for c in members])
         out[f"{label}_count"] = count
         out[f"{label}_ratio"] = count.cast("double") / F.lit(float(len(members)))
     return out

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -62,3 +66,9 @@ def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """The written table and its row count (read from the file footers)."""
     saved = materialize(df)
     return saved, saved.count()
+
+
+def in_parallel(task: Callable[[Any], Any], items: Iterable[Any], threads: int) -> list[Any]:
+    """Submit independent Spark jobs from a few driver threads."""
+    with ThreadPool(max(1, threads)) as pool:
+        return pool.map(inheritable_thread_target(task), list(items))
