@@ -153,6 +153,8 @@ def exact_quantiles(
             low = sketch[f"s{i}"][points.index(min(1.0, max(0.0, p - guard)))]
             high = sketch[f"s{i}"][points.index(min(1.0, max(0.0, p + guard)))]
             brackets.append((c, j, (counts[i] - 1) * float(p), low, high))
+    if not brackets:
+        return {c: [None] * len(probabilities) for c in columns}
     below = data.agg(
         *[F.count_if(F.col(c) < low).alias(f"b{k}") for k, (c, _, _, low, _) in enumerate(brackets)],
         *[F.count_if(F.col(c) <= high).alias(f"h{k}") for k, (c, _, _, _, high) in enumerate(brackets)],
