@@ -43,7 +43,7 @@ from ..functions.expr import (
     value_text,
 )
 from ..session import materialize, materialize_counted
-from .joins import category_shares, sized
+from .joins import category_shares, within_budget
 from .ordered import exact_quantiles, group_quantiles
 from .profile import chunks, column_types
 
@@ -157,7 +157,7 @@ def fit_encodings(
     """(``key, value, frequency, target_mean, median`` table, fitted numbers)."""
     supervised = bool(target and target in df.columns)
     keys = encoding_keys(df, settings, supervised)
-    fitted: dict[str, Any] = {"keys": keys, "rows": {}, "target_mean": 0.0, "median": 0.0, "tables": []}
+    fitted: dict[str, Any] = {"keys": keys, "size": {}, "target_mean": 0.0, "median": 0.0, "tables": []}
     amount = settings.get("amount_column", "TransactionAmt")
     if not keys:
         return None, fitted
@@ -191,7 +191,8 @@ def fit_encodings(
     else:
         table = table.withColumn("median", F.lit(None).cast("double"))
     table = materialize(table)
-    fitted["rows"] = {r["key"]: r["n"] for r in table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = table.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("b"))
+    fitted["size"] = {r["key"]: [r["n"], r["b"]] for r in sizes.collect()}
     fitted["tables"] = ["encodings"]
     return table, fitted
 
@@ -206,7 +207,7 @@ class FeatureEngineer(Estimator, _Settings, DefaultParamsReadable, DefaultParams
     def _fit(self, df: DataFrame) -> FeatureEngineerModel:
         own = self.get_settings()
         config = own["config"]
-        table, fitted = None, {"keys": {}, "rows": {}, "target_mean": 0.0, "median": 0.0, "tables": []}
+        table, fitted = None, {"keys": {}, "size": {}, "target_mean": 0.0, "median": 0.0, "tables": []}
         if config.get("use_feature_engineering", False):
             table, fitted = fit_encodings(df, config, own["target"])
         model = FeatureEngineerModel()._with(own, fitted)
@@ -266,13 +267,14 @@ def engineer(
     )
     encoded: dict[str, Column] = {}
     grouped: dict[str, Column] = {}
+    small = within_budget({k: fitted["size"].get(k, [0, 0]) for k in keys})
     fallback = fitted["median"] if fitted["median"] > 0 else 1.0
     for i, (key, spec) in enumerate(keys.items()):
         table = encodings.where(F.col("key") == key).select(
             F.col("value").alias(f"_key{i}"),
             F.col("frequency").alias(f"_f{i}"), F.col("target_mean").alias(f"_t{i}"), F.col("median").alias(f"_m{i}"),
         )
-        wide = wide.join(sized(table, fitted["rows"].get(key, 0)), f"_key{i}", "left")
+        wide = wide.join(F.broadcast(table) if key in small else table, f"_key{i}", "left")
         if "frequency" in spec["uses"]:
             encoded[f"{key}_frequency"] = F.coalesce(F.col(f"_f{i}"), F.lit(0.0))
         if "target_mean" in spec["uses"]:
@@ -450,7 +452,7 @@ class CategoryEncoder(Estimator, _Settings, DefaultParamsReadable, DefaultParams
         config, columns = own["config"], own["columns"]
         if columns is None:
             columns = column_types(df.drop(*own["excluded"]))[1]
-        fitted: dict[str, Any] = {"columns": columns, "offset": {}, "size": 0, "rows": {}, "tables": [], "flags": []}
+        fitted: dict[str, Any] = {"columns": columns, "offset": {}, "width": 0, "size": {}, "tables": [], "flags": []}
         model = CategoryEncoderModel()
         if columns:
             fill = _fill_values(df, columns, config)
@@ -462,12 +464,14 @@ class CategoryEncoder(Estimator, _Settings, DefaultParamsReadable, DefaultParams
             table = materialize(
                 category_slots(filled, columns, "", config.get("min_frequency"), config.get("max_categories"))
             )
-            per = table.groupBy("column").agg(F.count(F.lit(1)).alias("n"), (F.max("slot") + 1).alias("k")).collect()
-            sizes = {r["column"]: (r["n"], r["k"]) for r in per}
+            per = table.groupBy("column").agg(
+                F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("b"), (F.max("slot") + 1).alias("k")
+            )
+            sizes = {r["column"]: r for r in per.collect()}
             for c in columns:
-                fitted["offset"][c] = fitted["size"]
-                fitted["rows"][c], width = sizes.get(c, (0, 0))
-                fitted["size"] += width
+                fitted["offset"][c] = fitted["width"]
+                fitted["size"][c] = [sizes[c]["n"], sizes[c]["b"]] if c in sizes else [0, 0]
+                fitted["width"] += sizes[c]["k"] if c in sizes else 0
             fitted["tables"] = ["slots"]
             model.tables = {"slots": table.select("column", "value", "slot")}
         return model._with(own, fitted)
@@ -492,18 +496,18 @@ class CategoryEncoderModel(_TableModel):
         known = set(df.columns)
         text = {c: value_text(df, c) if c in known else F.lit(None).cast("string") for c in fitted["columns"]}
         wide = df.select("*", *[F.coalesce(text[c], F.lit(fitted["fill"][c])).alias(f"_v{i}") for i, c in enumerate(text)])
-        slots = []
+        small, slots = within_budget(fitted["size"]), []
         for i, c in enumerate(fitted["columns"]):
             table = self.tables["slots"].where(F.col("column") == c).select(
                 F.col("value").alias(f"_v{i}"), (F.col("slot") + F.lit(fitted["offset"][c])).alias(f"_s{i}")
             )
-            wide = wide.join(sized(table, fitted["rows"][c]), f"_v{i}", "left")
+            wide = wide.join(F.broadcast(table) if c in small else table, f"_v{i}", "left")
             slots.append(F.col(f"_s{i}"))
         for j, c in enumerate(fitted["flags"]):
             missing = F.col(c).isNull() if c in known else F.lit(True)
-            slots.append(F.when(missing, F.lit(fitted["size"] + j)))
+            slots.append(F.when(missing, F.lit(fitted["width"] + j)))
         hot = F.array(*slots) if slots else F.array().cast("array<int>")
-        wide = one_hot(wide.select(*df.columns, hot.alias("_hot")), F.col("_hot"), fitted["size"] + len(fitted["flags"]), own["output"])
+        wide = one_hot(wide.select(*df.columns, hot.alias("_hot")), F.col("_hot"), fitted["width"] + len(fitted["flags"]), own["output"])
         return wide.drop("_hot")
 
 

@@ -7,7 +7,7 @@ so copes even with rows that are equal in every column.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import value_text
 
-# Rows of short keys and a few numbers: about 100 MB at most.
+# A broadcast side holds at most this many rows and bytes of key text.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_TEXT = 64 * 1024 * 1024
 
 
 def left_join_optional(fact: DataFrame, side: DataFrame | None, key: str) -> DataFrame:
@@ -24,9 +25,19 @@ def left_join_optional(fact: DataFrame, side: DataFrame | None, key: str) -> Dat
     return fact if side is None else fact.join(side, key, "left")
 
 
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    """Mark a side for broadcast when its known row count is within the bound."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def sized(df: DataFrame, rows: int, text_bytes: int = 0) -> DataFrame:
+    """Mark a side for broadcast when its known size is within the bound."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and text_bytes <= BROADCAST_TEXT else df
+
+
+def within_budget(sizes: Mapping[str, Sequence[int]]) -> set[str]:
+    """Which of several tables, given as (rows, text bytes), may be broadcast together."""
+    chosen, rows, text = set(), 0, 0
+    for name, (n, b) in sorted(sizes.items(), key=lambda item: (item[1][0], item[0])):
+        if rows + n <= BROADCAST_ROWS and text + b <= BROADCAST_TEXT:
+            chosen.add(name)
+            rows, text = rows + n, text + b
+    return chosen
 
 
 def lookup(

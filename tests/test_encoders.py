@@ -173,3 +173,16 @@ def test_payloads(spark):
     checked = expr.check_payload(F.col("m"))
     rows = [(r["f"], r["r"]) for r in df.select(checked["features"].alias("f"), checked["reject_reason"].alias("r")).collect()]
     assert rows == [({"a": "1"}, None), (None, "blank_name"), (None, "not_finite"), (None, "empty"), (None, "empty"), ({"a": "2"}, None)]
+
+
+def test_broadcasts_share_a_budget(monkeypatch, txn):
+    from millrace.operators import joins
+
+    assert joins.within_budget({"a": [10, 5], "b": [joins.BROADCAST_ROWS, 5], "c": [20, joins.BROADCAST_TEXT]}) == {"a"}
+    model = encoders.FeatureEngineer(SETTINGS, "is_fraud", ["txn_id", "ingest_ts"]).fit(txn)
+    kept = ["txn_id", "card1_frequency", "card4_target_mean"]
+    first = sorted(map(tuple, model.transform(txn).select(kept).collect()))
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    plain = model.transform(txn)
+    assert "strategy=broadcast" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, plain.select(kept).collect())) == first
