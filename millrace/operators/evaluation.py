@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import add_all
 from ..session import materialize_counted
 from .joins import sized
 from .ordered import TASK_ROWS, running_totals
@@ -162,24 +163,27 @@ def candidates(grid: Sequence[float]) -> list[float]:
 
 
 def threshold_sweep(df: DataFrame, grid: Sequence[float], label: str = "label", score: str = "score") -> DataFrame:
-    """Every metric at every candidate threshold, from one aggregate over one scan."""
+    """Every metric at every candidate threshold, in one scan.
+
+    A row is counted once, in the band between two candidates. The confusion
+    table of a candidate is the sum over the bands above it: a window over as
+    many rows as there are candidates.
+    """
     cuts = candidates(grid)
-    y = F.col(label) == 1
-    counted = df.where(F.col(score).isNotNull()).agg(
-        F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"),
-        *[F.count_if(y & (F.col(score) >= F.lit(t))).alias(f"tp{i}") for i, t in enumerate(cuts)],
-        *[F.count_if(~y & (F.col(score) >= F.lit(t))).alias(f"fp{i}") for i, t in enumerate(cuts)],
+    y = F.col(label).cast("bigint")
+    band = add_all([(F.col(score) >= F.lit(t)).cast("int") for t in cuts])
+    counted = df.where(F.col(score).isNotNull()).groupBy(band.alias("band")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    steps = df.sparkSession.createDataFrame([(i, t) for i, t in enumerate([None, *cuts])], "band int, threshold double")
+    every = Window.partitionBy(F.lit(0))
+    above = every.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pos, neg = F.coalesce("pos", F.lit(0)), F.coalesce("neg", F.lit(0))
+    table = steps.join(F.broadcast(counted), "band", "left").select(
+        "threshold", F.sum(pos).over(above).alias("tp"), F.sum(neg).over(above).alias("fp"),
+        F.sum(pos).over(every).alias("positives"), F.sum(neg).over(every).alias("negatives"),
     )
-    tidy = F.array(
-        *[
-            F.struct(
-                F.lit(t).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"),
-                (F.col("pos") - F.col(f"tp{i}")).alias("fn"), (F.col("neg") - F.col(f"fp{i}")).alias("tn"),
-            )
-            for i, t in enumerate(cuts)
-        ]
+    table = table.where(F.col("threshold").isNotNull()).select(
+        "threshold", "tp", "fp", (F.col("positives") - F.col("tp")).alias("fn"), (F.col("negatives") - F.col("fp")).alias("tn")
     )
-    table = counted.select(F.explode(tidy).alias("t")).select("t.*")
     return table.select("threshold", *[c.alias(n) for n, c in rate_columns().items()])
 
 

@@ -433,8 +433,8 @@ PREPROCESSING = {
 }
 
 
-@query("preprocess_pipeline")
-def preprocess_pipeline(spark, sf_dir):
+@query("preprocessing")
+def preprocessing(spark, sf_dir):
     reference, _ = slices(spark, sf_dir)
     model = encoders.build_preprocessing(PREPROCESSING, "is_fraud", ["txn_id", "ingest_ts"]).fit(reference)
     out = model.transform(transactions(spark, sf_dir))
