@@ -53,10 +53,21 @@ def performance_by_slice(slices: Mapping[str, DataFrame], target: str, predictio
     return classification_metrics(tagged, ["slice"])
 
 
+def moves(settings: Mapping[str, Any]) -> tuple[dict[str, float], dict[str, float]]:
+    """(factors, shifts) per column; the three named settings stand for their columns."""
+    factors, shifts = dict(settings.get("numeric_multiply") or {}), dict(settings.get("numeric_shift") or {})
+    if "amount_drift_multiplier" in settings:
+        factors.setdefault("TransactionAmt", float(settings["amount_drift_multiplier"]))
+    if "transaction_dt_shift" in settings:
+        shifts.setdefault("TransactionDT", float(settings["transaction_dt_shift"]))
+    if "card1_shift" in settings:
+        shifts.setdefault("card1", float(settings["card1_shift"]))
+    return factors, shifts
+
+
 def inject_drift(df: DataFrame, key: str, settings: Mapping[str, Any], seed: int, numeric: list[str], categorical: list[str]) -> DataFrame:
-    moved = inject_numeric(
-        df, settings.get("drifted_numeric_columns") or numeric, settings.get("numeric_multiply"), settings.get("numeric_shift")
-    )
+    factors, shifts = moves(settings)
+    moved = inject_numeric(df, settings.get("drifted_numeric_columns") or numeric, factors, shifts)
     return inject_categorical(
         moved, settings.get("drifted_categorical_columns") or categorical, key,
         float(settings.get("categorical_drift_fraction", 0.75)), settings.get("categorical_replacements"), seed,
