@@ -62,6 +62,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(saved: DataFrame, key: str) -> DataFrame:
+    """Use every core on a small written table, whose few files would leave most idle.
+
+    A table of at least 32 MB per core already has enough splits and is left alone.
+    """
+    cores = saved.sparkSession.sparkContext.defaultParallelism
+    size = int(saved._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return saved.repartition(cores, key) if size < cores * 32 * 1024 * 1024 else saved
+
+
 def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """The written table and its row count (read from the file footers)."""
     saved = materialize(df)
