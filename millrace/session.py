@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -51,17 +52,64 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write to a table in the shared folder and read it back.
 
     Computed once, survives the loss of any executor, cuts the lineage, and
-    gives later joins a known size.
+    gives later joins a known size. The table stays until ``clear_scratch``, or
+    until its owner frees it (``Scratch``).
     """
     path = scratch_path(df.sparkSession, "table")
+    WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies in."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if path in WRITTEN:
+        WRITTEN.remove(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove every table this process has written on the way; frames that read them end here."""
+    for path in list(WRITTEN):
+        remove_path(spark, path)
+
+
+class Scratch:
+    """The tables one job writes on its way. ``free`` removes those that later tables have replaced; leaving
+    a ``with`` block removes all of them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def save(self, df: DataFrame) -> DataFrame:
+        saved = materialize(df)
+        self._paths[id(saved)] = (saved, WRITTEN[-1])
+        return saved
+
+    def free(self, *frames: DataFrame) -> None:
+        """Remove the tables, and let Spark's cleaner drop the shuffle files that led to later ones."""
+        for frame in frames:
+            _, path = self._paths.pop(id(frame))
+            remove_path(self.spark, path)
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.free(*[frame for frame, _ in self._paths.values()])
+
+
 def spread(saved: DataFrame, key: str) -> DataFrame:
     """Use every core on a small written table, whose few files would leave most idle.
 
