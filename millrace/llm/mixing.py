@@ -18,9 +18,9 @@ MARGINS = ("source", "lang", "topic")
 # What a text of each topic contains; the first that fits holds, any other text is prose.
 TOPICS = (
     ("legal", "[Ll]icen[cs]e|[Cc]opyright|LICENSE|COPYRIGHT"),
-    ("contact", "[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][a-z]+"),
+    ("contact", "[A-Za-z0-9._-]@[A-Za-z0-9-]+[.][a-z]"),
     ("tabular", " [|] "),
-    ("numeric", "[0-9]{4,}"),
+    ("numeric", "[0-9]{4}"),
 )
 # The power of its tokens that a margin's value gets as its share, unless targets are given.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
@@ -46,7 +46,8 @@ def unit_hash(key: str) -> Column:
 def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     """(value, share): each value's share of the margin, proportional to its tokens raised to a power."""
     sums = cells.groupBy(F.col(margin).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), power).alias("weight"))
-    return sums.crossJoin(F.broadcast(sums.agg(F.sum("weight").alias("all")))).select("value", (F.col("weight") / F.col("all")).alias("share"))
+    whole = sums.agg(F.sum("weight")).first()[0] or 1.0
+    return sums.select("value", (F.col("weight") / whole).alias("share"))
 
 
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
