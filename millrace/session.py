@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable
 from multiprocessing.pool import ThreadPool
@@ -100,8 +101,10 @@ class Scratch:
         for frame in frames:
             _, path = self._paths.pop(id(frame))
             remove_path(self.spark, path)
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # the first pass lets go of the plans, the second of the shuffles they held
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
     def __enter__(self) -> Scratch:
         return self
