@@ -30,11 +30,12 @@ class CountTrie:
 
     def __init__(self, vocabulary: Vocabulary, nodes: int = 400_000, deep: int = 64) -> None:
         self.vocabulary, self.most, self.deep = vocabulary, nodes, deep
-        self._reset()
+        self.counts: dict[str, int] = {}
+        self._plant()
 
-    def _reset(self) -> None:
+    def _plant(self) -> None:
         self.root: list = [{}, 0.0, 0]
-        self.size, self.counts = 1, {}
+        self.size = 1
 
     def _forward(self, word: str, end: int, path: list) -> tuple[float, int]:
         """Best score and tokens of the first ``end`` characters; path[i] is the node, or pair, of the first i."""
@@ -57,7 +58,7 @@ class CountTrie:
                 row.append(self._forward(word, end, row))
             return row[-1][1]
         if self.size > self.most:
-            self._reset()
+            self._plant()
         node = self.root
         path = [node]
         for end, char in enumerate(word, 1):
@@ -75,8 +76,8 @@ class CountTrie:
             for word in sorted(new):
                 self.counts[word] = self.insert(word)
         total = sum(map(self.counts.__getitem__, words))
-        if self.size > self.most or len(self.counts) > self.most:
-            self._reset()
+        if len(self.counts) > self.most:
+            self.counts = {}
         return total
 
 
