@@ -6,7 +6,7 @@ common prefix and computes only those beyond it.
 
 from __future__ import annotations
 
-import os
+import math
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -20,37 +20,51 @@ from .tokencount import MODEL, pre_tokens
 from .unigram import Vocabulary, load
 
 
-def segment_sorted(words: Iterable[str], vocabulary: Vocabulary) -> Iterator[tuple[str, bytes]]:
+def shared_prefixes(words: list[str], most: int = 32) -> list[int]:
+    """How many characters, up to ``most``, each of some words shares with the one before."""
+    if not words:
+        return []
+    size = np.array([len(w) for w in words])
+    width = max(1, min(most, int(size.max())))
+    codes = np.array(words, f"U{width}").view(np.uint32).reshape(len(words), width)
+    same = np.logical_and.accumulate(codes[1:] == codes[:-1], axis=1).sum(axis=1)
+    return [0, *np.minimum(same, np.minimum(size[1:], size[:-1])).tolist()]
+
+
+def segment_sorted(words: list[str], vocabulary: Vocabulary) -> Iterator[tuple[str, bytes]]:
     """Each of the sorted words with its best pieces, as packed 32-bit ids. Ties go to the piece that begins first."""
-    scores, ids, longest = vocabulary.scores, vocabulary.ids, vocabulary.longest
-    best, came, before = [0.0], [0], ""
-    for word in words:
-        shared = len(os.path.commonprefix((before, word)))
+    tail, packed = vocabulary.tails.get, vocabulary.packed
+    best, came = [0.0], [0]
+    for word, shared in zip(words, shared_prefixes(words)):
         del best[shared + 1 :], came[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
-            top, start = None, end - 1
-            for begin in range(max(0, end - longest), end):
-                gain = scores.get(word[begin:end])
-                if gain is not None and (top is None or best[begin] + gain > top):
-                    top, start = best[begin] + gain, begin
-            if top is None:
-                top = best[end - 1] + vocabulary.fallback(word[end - 1])[0]
+            top, start = -math.inf, end
+            for begin in range(end - 1, -1, -1):
+                gain = tail(word[begin:end], 0)
+                if gain:
+                    gain += best[begin]
+                    if gain >= top:
+                        top, start = gain, begin
+                elif gain == 0:  # no piece ends like this, nor like anything longer
+                    break
+            if start == end:
+                top, start = best[end - 1] + vocabulary.fallback(word[end - 1])[0], end - 1
             best.append(top)
             came.append(start)
-        found: list[list[int]] = []
-        end = len(word)
+        found, end = [], len(word)
         while end:
-            piece = word[came[end] : end]
-            found.append([ids[piece]] if piece in ids else vocabulary.fallback(piece)[1])
-            end = came[end]
-        yield word, array("i", [k for part in reversed(found) for k in part]).tobytes()
-        before = word
+            start = came[end]
+            piece = word[start:end]
+            found.append(packed[piece] if piece in packed else array("i", vocabulary.fallback(piece)[1]).tobytes())
+            end = start
+        found.reverse()
+        yield word, b"".join(found)
 
 
 class Encoder:
     """Encodes texts one after the other, and remembers up to ``most`` words."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 300_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, most: int = 500_000) -> None:
         self.vocabulary, self.most, self.known = vocabulary, most, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -69,6 +83,20 @@ def decode_ids(ids: Iterable[int], vocabulary: Vocabulary) -> str:
     return b"".join(map(vocabulary.raw.__getitem__, ids)).decode(errors="replace")[1:]
 
 
+class Decoder:
+    """Decodes many ids at once: the bytes of all pieces lie in one row, from which those of the ids are gathered."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.size = np.array([len(r) for r in vocabulary.raw], np.int64)
+        self.start = np.concatenate(([0], np.cumsum(self.size)[:-1]))
+        self.bytes = np.frombuffer(b"".join(vocabulary.raw), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        end = np.cumsum(size)
+        return self.bytes[np.repeat(self.start[ids] - end + size, size) + np.arange(end[-1] if len(end) else 0)].tobytes()
+
+
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, verify: bool = True, chunk: int = 500_000) -> DataFrame:
     """Per row: doc_id, n_pieces, ids, and with ``verify`` exact (decoding the ids gives the text back).
 
@@ -78,7 +106,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
     vocabulary = load(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
         for batch in batches:
             at = 0
             while at < len(batch):  # some texts at a time
@@ -97,7 +125,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.compute.invert(valid))
                 columns, names = [part.column(0), pa.array([None if t is None else int(c) for t, c in zip(texts, count)], pa.int64()), ids], ["doc_id", "n_pieces", "ids"]
                 if verify:
-                    exact = [None if t is None else decode_ids(array("i", p), vocabulary) == t for t, p in zip(texts, packed)]
+                    exact = [None if t is None else decoder.decode(np.frombuffer(p, np.int32)) == b" " + t.encode() for t, p in zip(texts, packed)]
                     columns, names = [*columns, pa.array(exact, pa.bool_())], [*names, "exact"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 at += n

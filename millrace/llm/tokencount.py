@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .unigram import Vocabulary, load
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-_UNITS = regex.compile(r" [^ \n]*|\n|[^ \n]+")
+_UNITS = re.compile(r" [^ \n]*|\n|[^ \n]+")
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -34,40 +35,44 @@ class CountTrie:
         self._plant()
 
     def _plant(self) -> None:
-        self.root: list = [{}, 0.0, 0]
+        self.root: tuple = ({}, 0.0, 0)  # what follows, score and tokens of the prefix
         self.size = 1
 
-    def _forward(self, word: str, end: int, path: list) -> tuple[float, int]:
-        """Best score and tokens of the first ``end`` characters; path[i] is the node, or pair, of the first i."""
-        scores, best = self.vocabulary.scores, None
-        for begin in range(max(0, end - self.vocabulary.longest), end):
-            gain = scores.get(word[begin:end])
-            if gain is not None:
-                made = (path[begin][-2] + gain, path[begin][-1] + 1)
-                if best is None or made[0] > best[0] or made[0] == best[0] and made[1] < best[1]:
-                    best = made
-        if best is None:
+    def _forward(self, word: str, end: int, scores: list[float], tokens: list[int]) -> tuple[float, int]:
+        """Best score and tokens of the first ``end`` characters, from those of all shorter prefixes."""
+        tail, top, least = self.vocabulary.tails.get, -math.inf, 0
+        for begin in range(end - 1, -1, -1):
+            gain = tail(word[begin:end], 0)
+            if gain:
+                gain += scores[begin]
+                if gain > top or gain == top and tokens[begin] + 1 < least:
+                    top, least = gain, tokens[begin] + 1
+            elif gain == 0:  # no piece ends like this, nor like anything longer
+                break
+        if not least:
             gain, spelled = self.vocabulary.fallback(word[end - 1])
-            best = (path[end - 1][-2] + gain, path[end - 1][-1] + len(spelled))
-        return best
+            return scores[end - 1] + gain, tokens[end - 1] + len(spelled)
+        return top, least
 
     def insert(self, word: str) -> int:
+        scores, tokens = [0.0], [0]
         if len(word) > self.deep:
-            row = [(0.0, 0)]
             for end in range(1, len(word) + 1):
-                row.append(self._forward(word, end, row))
-            return row[-1][1]
+                score, n = self._forward(word, end, scores, tokens)
+                scores.append(score)
+                tokens.append(n)
+            return tokens[-1]
         if self.size > self.most:
             self._plant()
         node = self.root
-        path = [node]
         for end, char in enumerate(word, 1):
             after = node[0].get(char)
             if after is None:
-                after = node[0][char] = [{}, *self._forward(word, end, path)]
+                after = node[0][char] = ({}, *self._forward(word, end, scores, tokens))
                 self.size += 1
-            path.append(after)
             node = after
+            scores.append(node[1])
+            tokens.append(node[2])
         return node[2]
 
     def count(self, words: list[str]) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from dataclasses import dataclass
 
 MARK = "▁"
@@ -16,7 +17,8 @@ class Vocabulary:
     scores: dict[str, float]
     byte_ids: tuple[int, ...]
     byte_score: float
-    longest: int
+    tails: dict[str, float | None]  # every ending of a piece, with its score where it is a piece itself
+    packed: dict[str, bytes]  # each piece's id as four bytes
     raw: tuple[bytes, ...]  # what each id stands for
 
     def fallback(self, char: str) -> tuple[float, list[int]]:
@@ -47,4 +49,5 @@ def load(model: str) -> Vocabulary:
     if " " not in ids:
         raise ValueError("the model has no piece for a word mark alone")
     scores = {piece: -math.log(2 + k) for piece, k in ids.items()}
-    return Vocabulary(ids, scores, tuple(byte_ids), -2 * math.log(2 + len(raw)), max(map(len, ids)), tuple(raw))
+    tails = {piece[i:]: None for piece in ids for i in range(1, len(piece))} | scores
+    return Vocabulary(ids, scores, tuple(byte_ids), -2 * math.log(2 + len(raw)), tails, {piece: array("i", [k]).tobytes() for piece, k in ids.items()}, tuple(raw))
