@@ -215,8 +215,9 @@ def count_prior(rows: list[np.ndarray], features: Features, labels: np.ndarray,
     return np.clip(np.log((seen[:, 1] + weight * share) / (seen[:, 0] + weight * (1 - share)) * (1 - share) / share), -2, 4)
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 6, batch: int = 128, seed: int = 7) -> Network:
-    """Fit on whole texts: in each round the highest window of every text, and another one of a text with label 0, are learned from."""
+def train(texts: list[str], labels: np.ndarray, steps: int = 400, batch: int = 128, seed: int = 7) -> Network:
+    """Fit on whole texts in about ``steps`` batches: in each round the highest window of every text, and another one of a text with label 0,
+    are learned from."""
     rng, words = np.random.default_rng(seed), Words()
     rows = [words.of(words_of(t)) for t in texts]
     features = Features(words.fresh)
@@ -228,7 +229,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 6, batch: int = 12
     pad = np.zeros((1, FIXED + WORD_DIM + GRAM_DIM), np.float32)
     odds = np.concatenate((pad, net.inputs(features)))[:, :2].sum(axis=1)
     score = odds[flat].max(axis=1)  # before the first round: the window with the word of the highest odds
-    for turn in range(rounds):
+    for turn in range(max(2, steps * batch // max(1, len(texts) + int((labels == 0).sum())))):
         if turn:
             gates = net.project(np.concatenate((pad, net.inputs(features))))
             score = np.concatenate([net.forward(gates, flat[i : i + 4096]) for i in range(0, len(flat), 4096)])
