@@ -91,7 +91,7 @@ SAMPLE_VALIDATION: dict[str, Any] = {
 
 SAMPLE_PARAMS: dict[str, Any] = {
     "data": {
-        "target_column": "isFraud", "id_column": "TransactionID", "sample_size": 100000, "test_size": 0.2,
+        "target_column": "isFraud", "id_column": "TransactionID", "sample_size": None, "test_size": 0.2,
         "random_state": 42,
     },
     "preprocessing": {

@@ -61,8 +61,9 @@ def running_totals(
         window = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return saved.select("*", *[F.sum(s).over(window).alias(f"cum_{s}") for s in sums])
 
+    parts = [-(-rows // task_rows)] if task_rows else []  # 0 leaves the number to Spark
     ranged = materialize(
-        saved.repartitionByRange(*[F.col(k) for k in keys], direction).withColumn(_PART, F.spark_partition_id())
+        saved.repartitionByRange(*parts, *[F.col(k) for k in keys], direction).withColumn(_PART, F.spark_partition_id())
     )
     # A key spans neighbouring partitions only, so this holds at most
     # (partitions + keys) rows.

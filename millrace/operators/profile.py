@@ -264,7 +264,9 @@ def quantile_edges(df: DataFrame, column: str, q: int = 10) -> list[float]:
 
 
 def bin_index(value: Column, edges: Sequence[float]) -> Column:
-    """Right-closed bins over the edges, the first one closed on both sides."""
+    """Right-closed bins over the edges, the first one closed on both sides; without edges, no bin."""
+    if not edges:
+        return F.lit(None).cast("int")
     index = F.when(value < edges[0], None)
     for i, right in enumerate(edges[1:]):
         index = index.when(value <= F.lit(right), F.lit(i))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import contract, drift, quality
 from ..operators.profile import category_tables, numeric_profile
+from ..session import materialize
 from ..sources.fixtures import scores, transactions
 from .catalog import query, rounded
 from .catalog_tables import _profile_sql, shown_profile, slices
@@ -269,17 +270,27 @@ def baseline_distribution(spark, sf_dir):
 
 @query(
     "schema_drift",
-    """, c AS (SELECT column_name AS name FROM (DESCRIBE SELECT * EXCLUDE (card6, r_email), 1 AS channel FROM txn)),
-       b AS (SELECT column_name AS name FROM (DESCRIBE SELECT * FROM txn))
-       SELECT 'missing' AS change, name FROM (SELECT name FROM b EXCEPT SELECT name FROM c)
-       UNION ALL SELECT 'new', name FROM (SELECT name FROM c EXCEPT SELECT name FROM b)""",
+    """SELECT 'missing' AS change, 'card6' AS name, count(card6) AS filled FROM txn
+       UNION ALL SELECT 'missing', 'r_email', count(r_email) FROM txn
+       UNION ALL SELECT 'new', 'channel', count(*) FROM txn""",
     "txn",
 )
 def schema_drift(spark, sf_dir):
+    """Columns that came or went between a table's stored profile and a written table, with the rows that have a value there."""
     before = transactions(spark, sf_dir)
-    now = before.drop("card6", "r_email").withColumn("channel", F.lit(1))
-    diff = drift.schema_drift(now.columns, before.columns, before.columns)
-    return spark.createDataFrame([(k, n) for k, names in diff.items() for n in names], "change string, name string")
+    stored = materialize(filled_rows(before))
+    now = materialize(before.drop("card6", "r_email").withColumn("channel", F.lit(1)))
+    names = [r["name"] for r in stored.select("name").collect()]
+    diff = drift.schema_drift(now.columns, names, names)
+    changes = spark.createDataFrame([(k, n) for k, found in diff.items() for n in found], "change string, name string")
+    held = stored.unionByName(filled_rows(now.select(*[c for c in now.columns if c not in names])))
+    return changes.join(F.broadcast(held), "name").select("change", "name", "filled")
+
+
+def filled_rows(df: DataFrame) -> DataFrame:
+    """``name, filled``: how many rows have a value, for every column, from one aggregation."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.count(F.col(c)).alias("filled")) for c in df.columns])
+    return df.agg(pairs.alias("p")).select(F.inline("p"))
 
 
 def _ks_sql(c):

@@ -31,6 +31,7 @@ class MonitoringResult:
     status: DataFrame
     quality: DataFrame
     performance: DataFrame | None
+    categories: DataFrame | None = None
 
 
 def quality_comparison(slices: Mapping[str, DataFrame], numeric: list[str]) -> DataFrame:
@@ -85,7 +86,8 @@ def run_monitoring(
 ) -> MonitoringResult:
     """Compare a reference slice with a clean and with a drifted current slice."""
     seed = int(settings.get("random_state", 42))
-    sliced = materialize(monitoring_slices(df, key, int(settings.get("sample_size", 5000)), seed))
+    size = settings.get("sample_size", 5000)  # null: all rows
+    sliced = materialize(monitoring_slices(df, key, int(size) if size is not None else -(-df.count() // 2), seed))
     reference = sliced.where("slice = 'reference'").drop("slice")
     clean = sliced.where("slice = 'current'").drop("slice")
     drifted = inject_drift(clean, key, settings, seed, numeric, categorical)
@@ -107,4 +109,5 @@ def run_monitoring(
         summaries.append(summary)
         states.append(drift_status(summary, report, float(settings.get("drift_alert_share_threshold", 0.20))))
     performance = performance_by_slice(slices, target) if "prediction" in kept else None
-    return MonitoringResult(union_all(summaries), union_all(states), quality_comparison(slices, numbers), performance)
+    categories = category_comparison(slices, texts) if texts else None
+    return MonitoringResult(union_all(summaries), union_all(states), quality_comparison(slices, numbers), performance, categories)

@@ -91,3 +91,18 @@ def test_cut_at_takes_exactly_the_first_rows(skewed, rank):
     assert early.count() + late.count() == 3000
     order = pdf(skewed).sort_values(["v", "id"], na_position="last")["id"].head(rank)
     assert set(pdf(early)["id"]) == set(order)
+
+
+def test_running_totals_have_a_partition_for_every_task_rows(spark):
+    df = spark.range(5000).select(F.col("id").alias("x"), F.lit(1).alias("n"))
+    summed = running_totals(df, [], "x", ["n"], task_rows=250)
+    assert summed.agg(F.max("cum_n")).first()[0] == 5000
+    wide = df.repartitionByRange(-(-5000 // 250), "x").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert wide <= 2 * 250
+
+
+def test_no_bins_without_values(spark):
+    from millrace.operators.profile import rate_by_quantile_bin
+
+    empty = spark.createDataFrame([(None, 1), (None, 0)], "x double, y int")
+    assert rate_by_quantile_bin(empty, "x", "y").count() == 0
