@@ -580,6 +580,26 @@ class FeatureSelector(Estimator, _Settings, DefaultParamsReadable, DefaultParams
         return VectorSlicer(inputCol=own["vector"], outputCol=own["output"], indices=[int(i) for i in keep])
 
 
+class WrittenOnce(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """A pipeline stage that, while the pipeline is fitted, writes the rows so far as a table from which all later stages read. The fitted
+    stage passes any other rows through."""
+
+    def _fit(self, df: DataFrame) -> PassThrough:
+        return PassThrough(df, materialize(df))
+
+
+class PassThrough(Model, DefaultParamsReadable, DefaultParamsWritable):
+    def __init__(self, seen: DataFrame | None = None, written: DataFrame | None = None):
+        super().__init__()
+        self._seen, self._written = seen, written
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        if df is not self._seen:
+            return df
+        written, self._seen, self._written = self._written, None, None  # once, for the rows it was fitted on
+        return written
+
+
 def build_preprocessing(settings: Mapping[str, Any], target: str, carried: Sequence[str] = (), output: str = "features") -> Pipeline:
     """Engineer, impute/scale/encode, expand, drop constants, select: one Pipeline.
 
@@ -590,7 +610,7 @@ def build_preprocessing(settings: Mapping[str, Any], target: str, carried: Seque
     stages: list[Any] = []
     engineered = s.get("use_feature_engineering", False)
     if engineered:
-        stages.append(FeatureEngineer(s, target, carried))
+        stages += [FeatureEngineer(s, target, carried), WrittenOnce()]
     stages.append(
         NumericPrep(
             {"strategy": s.get("numeric_imputer_strategy", "median"), "scaler": s.get("scaler"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -383,10 +383,10 @@ def one_hot_categories(spark, sf_dir):
     "txn",
 )
 def polynomial_features(spark, sf_dir):
-    df = transactions(spark, sf_dir).select("txn_id", "card1", F.coalesce("addr1", F.lit(0.0)).alias("addr1"))
-    wide = VectorAssembler(inputCols=["card1", "addr1"], outputCol="v").transform(df)
-    terms = vector_to_array(F.col("p"))
-    expanded = PolynomialExpansion(degree=2, inputCol="v", outputCol="p").transform(wide).select("txn_id", terms.alias("t"))
+    df = transactions(spark, sf_dir).select("txn_id", F.lit(0).alias("is_fraud"), "card1", F.coalesce("addr1", F.lit(0.0)).alias("addr1"))
+    settings = {"numeric_imputer_strategy": "median", "use_polynomial_features": True, "polynomial_degree": 2}
+    fitted = encoders.build_preprocessing(settings, "is_fraud", ["txn_id"]).fit(df)
+    expanded = fitted.transform(df).select("txn_id", vector_to_array("features").alias("t"))
     names = ["card1", "card1_card1", "addr1", "card1_addr1", "addr1_addr1"]
     return expanded.select("txn_id", *[F.round(F.col("t")[i], 4).alias(n) for i, n in enumerate(names)])
 

@@ -186,3 +186,23 @@ def test_broadcasts_share_a_budget(monkeypatch, txn):
     plain = model.transform(txn)
     assert "strategy=broadcast" not in plain._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, plain.select(kept).collect())) == first
+
+
+def test_fit_reads_engineered_rows_once(spark, txn, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from millrace.operators.encoders import PassThrough, build_preprocessing
+    from millrace.session import WRITTEN, clear_scratch
+
+    settings = {"use_feature_engineering": True, "amount_column": "txn_amt", "log_transform_features": ["txn_amt"], "scaler": "standard"}
+    rows = txn.select("txn_id", "is_fraud", "txn_amt", "card4")
+    fitted = build_preprocessing(settings, "is_fraud", ["txn_id"]).fit(rows)
+    kept = next(s for s in fitted.stages if isinstance(s, PassThrough))
+    assert kept._seen is None and kept._written is None and WRITTEN
+    fitted.write().overwrite().save(str(tmp_path / "model"))
+    first = [r["features"] for r in fitted.transform(rows).orderBy("txn_id").limit(5).collect()]
+    again = [r["features"] for r in PipelineModel.load(str(tmp_path / "model")).transform(rows).orderBy("txn_id").limit(5).collect()]
+    assert first == again
+    held = list(WRITTEN)
+    clear_scratch(spark)
+    assert held and not WRITTEN
