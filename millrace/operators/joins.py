@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import value_text
+from ..session import materialize
 
 # A broadcast side holds at most this many rows and bytes of key text.
 BROADCAST_ROWS = 1_000_000
@@ -43,12 +44,15 @@ def within_budget(sizes: Mapping[str, Sequence[int]]) -> set[str]:
 def lookup(
     df: DataFrame,
     table: DataFrame,
-    rows: int,
     on: str,
     defaults: Mapping[str, Any],
 ) -> DataFrame:
-    """Dictionary lookup with a default per looked-up column; ``table`` has one row per key."""
-    found = df.join(sized(table, rows), on, "left")
+    """Dictionary lookup with a default per looked-up column; ``table`` has one row per key. It is written once, and its rows
+    and text are counted before it may be broadcast."""
+    saved = materialize(table)
+    texts = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) for f in saved.schema.fields if f.dataType.typeName() == "string"]
+    seen = saved.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum(texts, F.lit(0))), F.lit(0)).alias("b")).first()
+    found = df.join(sized(saved, seen["n"], seen["b"]), on, "left")
     return found.select(
         *df.columns,
         *[(F.coalesce(F.col(c), F.lit(d)) if d is not None else F.col(c)).alias(c) for c, d in defaults.items()],

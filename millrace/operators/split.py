@@ -17,10 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import seeded_hash
+from ..session import materialize
 from .ordered import cut_at
 
 BUCKET_BITS = 20
+# A learner's classes are held on the driver; more values than this are no class label to a learner.
 MAX_CLASSES = 10_000
+# Splits of more classes than this keep sizes, quotas and cuts as tables.
+LISTED_CLASSES = 50
 
 
 def temporal_split(df: DataFrame, time: str, key: str, share: float = 0.70) -> tuple[DataFrame, DataFrame]:
@@ -29,6 +33,12 @@ def temporal_split(df: DataFrame, time: str, key: str, share: float = 0.70) -> t
     return df.where(early), df.where(~early)
 
 
+def listed_sizes(df: DataFrame, target: str) -> dict[Any, int] | None:
+    """Rows per class if there are at most ``LISTED_CLASSES``, else None."""
+    rows = df.groupBy(target).agg(F.count(F.lit(1)).alias("n")).limit(LISTED_CLASSES + 1).collect()
+    return {r[target]: r["n"] for r in rows} if len(rows) <= LISTED_CLASSES else None
+
+
 def class_sizes(df: DataFrame, target: str) -> dict[Any, int]:
     """Rows per class (NULL is a class); refuses a target that is no class label."""
     rows = df.groupBy(target).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
@@ -134,27 +144,54 @@ def assign_pieces(
             total += part
             ends.append(total)
         ranks[c] = ends
-    cuts = hash_cuts(df, key, seed, ranks, target)
-    if target is not None and len(sizes) > 50:
-        return _assign_many(df, key, cuts, seed, target, name)
-    return df.withColumn(name, _piece(df, key, seed, cuts, target))
-
-
-def _assign_many(
-    df: DataFrame, key: str, cuts: Mapping[Any, Sequence[int | None]], seed: int, target: str, name: str
-) -> DataFrame:
-    """The same over a joined table of cuts, when there are many classes (<= MAX_CLASSES)."""
-    dtype = df.schema[target].dataType.simpleString()
-    lowest = -(2**63)
-    table = F.broadcast(
-        df.sparkSession.createDataFrame(
-            [(c, [lowest if v is None else v for v in values]) for c, values in cuts.items()],
-            f"_class {dtype}, _cuts array<bigint>",
+    if target is not None and len(sizes) > LISTED_CLASSES:
+        dtype = df.schema[target].dataType.simpleString()
+        ends = df.sparkSession.createDataFrame(list(ranks.items()), f"_class {dtype}, _ends array<bigint>")
+        return deal_by_table(df, key, ends, seed, target, name)
+    return df.withColumn(name, _piece(df, key, seed, hash_cuts(df, key, seed, ranks, target), target))
+
+
+def class_table(df: DataFrame, target: str) -> DataFrame:
+    """``_class, _n``, written: for any number of classes."""
+    return materialize(df.groupBy(F.col(target).alias("_class")).agg(F.count(F.lit(1)).alias("_n")))
+
+
+def quota_table(sizes: DataFrame, rows: int, total: int) -> DataFrame:
+    """``_class, _q``: the shares of ``quotas`` for any number of classes, in whole numbers."""
+    product = f"CAST({total} AS DECIMAL(19, 0)) * CAST(_n AS DECIMAL(19, 0))"
+    parts = materialize(
+        sizes.select(
+            "_class", F.expr(f"({product}) div CAST({rows} AS DECIMAL(19, 0))").cast("long").alias("_q"),
+            (-F.expr(f"({product}) % CAST({rows} AS DECIMAL(19, 0))").cast("long")).alias("_left"),
+            F.coalesce(F.col("_class").cast("string"), F.lit("None")).alias("_text"),
         )
     )
+    rest = total - parts.agg(F.sum("_q")).first()[0]
+    return parts.select("_class", (F.col("_q") + cut_at(parts, ["_left", "_text"], rest).cast("long")).alias("_q"))
+
+
+def deal_by_table(df: DataFrame, key: str, ends: DataFrame, seed: int, target: str, name: str = "piece") -> DataFrame:
+    """``assign_pieces`` over a table ``_class, _ends`` (rows of the class before each cut): nothing of it on the driver."""
     h = seeded_hash(seed, key)
+    hashed = df.select(F.col(target).alias("_class"), h.alias("_h")).withColumn("_bucket", F.shiftright("_h", 64 - BUCKET_BITS))
+    upto = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    buckets = hashed.groupBy("_class", "_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn("_cum", F.sum("_n").over(upto))
+    wanted = ends.select(F.col("_class").alias("_c"), F.posexplode("_ends").alias("_cut", "_rank"))
+    within = (F.col("_rank") <= F.col("_cum")) & (F.col("_rank") > F.col("_cum") - F.col("_n"))
+    hit = materialize(
+        buckets.join(wanted, F.col("_class").eqNullSafe(F.col("_c")) & within)
+        .select("_c", "_cut", F.col("_bucket").alias("_b"), (F.col("_rank") - F.col("_cum") + F.col("_n")).alias("_left"))
+    )
+    inside = hashed.join(hit, F.col("_class").eqNullSafe(F.col("_c")) & (F.col("_bucket") == F.col("_b")))
+    order = Window.partitionBy("_c", "_cut").orderBy("_h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = inside.groupBy("_c", "_cut", "_left", "_h").agg(F.count(F.lit(1)).alias("_n")).withColumn("_cum", F.sum("_n").over(order))
+    cuts = counted.where("_cum >= _left").groupBy("_c", "_cut").agg(F.min("_h").alias("_h"))
+    known = cuts.groupBy("_c").agg(F.collect_list("_h").alias("_cuts"))  # one value a piece
+    none = ends.select("_class", F.size(F.filter("_ends", lambda r: r <= 0)).alias("_none"))
+    table = materialize(none.join(known, F.col("_class").eqNullSafe(F.col("_c")), "left").select("_class", "_none", F.coalesce("_cuts", F.array().cast("array<bigint>")).alias("_cuts")))
     joined = df.join(table, df[target].eqNullSafe(table["_class"]), "left")
-    return joined.select(*[df[c] for c in df.columns], F.size(F.filter("_cuts", lambda v: v < h)).alias(name))
+    piece = F.col("_none") + F.size(F.filter("_cuts", lambda v: v < h))
+    return joined.select(*[df[c] for c in df.columns], piece.alias(name))
 
 
 def stratified_split(
@@ -167,7 +204,15 @@ def stratified_split(
 
 def with_test_flag(df: DataFrame, target: str, key: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """``piece`` 0 marks test rows, 1 training rows."""
-    sizes = class_sizes(df, target)
+    sizes = listed_sizes(df, target)
+    if sizes is None:
+        found = class_table(df, target)
+        rows, least = found.agg(F.sum("_n"), F.min("_n")).first()
+        test_rows = math.ceil(rows * test_size)
+        if least >= 2:
+            ends = quota_table(found, rows, test_rows).select("_class", F.array("_q").alias("_ends"))
+            return deal_by_table(df, key, ends, seed, target)
+        return assign_pieces(df, key, {None: [test_rows]}, seed)
     rows = sum(sizes.values())
     test_rows = math.ceil(rows * test_size)
     if not can_stratify(sizes):
@@ -183,7 +228,13 @@ def fold_count(sizes: Mapping[Any, int], requested: int) -> int:
 
 def assign_folds(df: DataFrame, target: str, key: str, folds: int = 2, seed: int = 42) -> DataFrame:
     """Add ``fold``; class sizes of any two folds differ by at most one row."""
-    sizes = class_sizes(df, target)
+    sizes = listed_sizes(df, target)
+    if sizes is None:
+        found = class_table(df, target)
+        least = found.agg(F.min("_n")).first()[0]
+        k = fold_count({0: least, 1: least}, folds)
+        before = F.transform(F.sequence(F.lit(1), F.lit(k - 1)), lambda i: i * F.expr(f"_n div {k}") + F.least(i.cast("long"), F.col("_n") % k))
+        return deal_by_table(df, key, found.select("_class", (before if k > 1 else F.array().cast("array<bigint>")).alias("_ends")), seed, target, "fold")
     k = fold_count(sizes, folds)
     parts = {c: [n // k + (1 if i < n % k else 0) for i in range(k - 1)] for c, n in sizes.items()}
     return assign_pieces(df, key, parts, seed, target, "fold")

@@ -135,7 +135,7 @@ def amount_vs_group_median(spark, sf_dir):
     df = transactions(spark, sf_dir)
     keyed = df.select("txn_id", "txn_amt", expr.category(df, "card4").alias("value"))
     medians = profile.group_median(keyed, "value", "txn_amt").select("value", "median")
-    found = joins.lookup(keyed, medians, medians.count(), "value", {"median": None})
+    found = joins.lookup(keyed, medians, "value", {"median": None})
     amount, median = F.col("txn_amt"), F.col("median")
     return found.select(
         "txn_id", F.round(expr.group_ratio(amount, median), 8).alias("ratio"), F.round(amount - median, 4).alias("difference")

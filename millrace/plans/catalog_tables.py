@@ -109,7 +109,7 @@ def lookup_with_default(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").where("c_mktsegment <> 'FURNITURE'")
     members = customers.groupBy(F.col("c_mktsegment").alias("card4")).agg(F.count(F.lit(1)).alias("members"))
     txn = transactions(spark, sf_dir).select("txn_id", "card4")
-    return joins.lookup(txn, members, members.count(), "card4", {"members": 0})
+    return joins.lookup(txn, members, "card4", {"members": 0})
 
 
 @query(

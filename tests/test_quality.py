@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.config import SAMPLE_PARAMS, SAMPLE_VALIDATION, ConfigError, load_config
 from millrace.operators import contract, quality
@@ -97,6 +98,11 @@ def test_balance(spark):
     assert quality.check_balance(df, "z") == ([], {"checked": False, "reason": "target_column_missing"})
 
 
+def test_balance_lists_all_of_2000_classes(spark):
+    issues, metrics = quality.check_balance(spark.range(6000).select((F.col("id") % 2000).alias("y")), "y", 0.0001)
+    assert issues == [] and len(metrics["class_counts"]) == 2000 and set(metrics["class_counts"].values()) == {3}
+
+
 def test_freshness(spark):
     df = spark.createDataFrame([("2026-05-01T00:00:00Z",), ("2026-05-20",), ("soon",), (None,)], "ts string")
     settings = {"timestamp_column": "ts", "reference_time": "2026-05-07T00:00:00Z", "max_age_days": 10}

@@ -88,3 +88,12 @@ def test_scan_reads_only_what_is_asked(spark, small, tmp_path):
     path = tables.write_table(small, str(tmp_path / "p.parquet"))
     plan = tables.read_table(spark, path).where(F.col("id") > 1).select("x")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(id,1)" in plan and "name" not in plan.split("ReadSchema")[1]
+
+
+def test_many_first_rows(spark, monkeypatch):
+    df = spark.range(3000).select(F.when(F.col("id") % 10 != 0, (F.col("id") / 4).cast("int")).alias("k"), "id")
+    few = sorted(str(r["k"]) for r in tables.bounded_scan(df, 1001, "k").collect())
+    nulls = tables.bounded_scan(df, 2900, "k").count()
+    monkeypatch.setattr(tables, "TOP_ROWS", 10)
+    assert sorted(str(r["k"]) for r in tables.bounded_scan(df, 1001, "k").collect()) == few and len(few) == 1001
+    assert tables.bounded_scan(df, 2900, "k").count() == nulls == 2900

@@ -58,6 +58,23 @@ def test_folds(rows):
         split.fold_count({0: 9}, 2)
 
 
+def test_table_of_classes_agrees_with_the_list(spark, monkeypatch):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 7 != 0, F.col("id") % 13).alias("y"))
+    flags = lambda: {r["id"]: r["piece"] for r in split.with_test_flag(df, "y", "id", 0.23).collect()}
+    folds = lambda: {r["id"]: r["fold"] for r in split.assign_folds(df, "y", "id", 3).collect()}
+    listed = flags(), folds()
+    monkeypatch.setattr(split, "LISTED_CLASSES", 3)
+    assert (flags(), folds()) == listed
+
+
+def test_split_of_20000_classes(spark):
+    df = spark.range(60_000).select("id", (F.col("id") % 20_000).alias("y"))
+    train, test = split.stratified_split(df, "y", "id", 0.25)
+    assert test.count() == 15_000 and train.count() == 45_000 and train.select("y").distinct().count() == 20_000
+    folded = split.assign_folds(df, "y", "id", 3).groupBy("y", "fold").agg(F.count("id").alias("n"))
+    assert folded.count() == 60_000 and folded.where("n <> 1").isEmpty()
+
+
 def test_not_a_class_label(spark, monkeypatch):
     monkeypatch.setattr(split, "MAX_CLASSES", 5)
     with pytest.raises(ValueError):
