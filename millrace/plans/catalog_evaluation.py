@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, rollups, scoring
+from ..operators import evaluation, rollups, scoring, training
 from ..operators.quality import build_suite
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources.fixtures import scores, table
 from ..streaming import jobs
 from .catalog import query, rounded
@@ -317,19 +317,34 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.file_stream(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema)
 
 
-def event_scorer(df: DataFrame) -> DataFrame:
-    """A stand-in for a model: the value as a share of 500."""
-    return df.withColumn("fraud_probability", F.coalesce(F.col("value"), F.lit(0.0)) / 500)
+def event_model(spark: SparkSession, sf_dir: str) -> training.ThresholdModel:
+    """One tree fitted on the aligned payloads: which kinds of event are sales."""
+    parsed = payloads(table(spark, sf_dir, "events")).select("event_id", scoring.parse_payload(F.col("payload")).alias("features"))
+    aligned = scoring.align_features(parsed.where("features IS NOT NULL"), MODEL_COLUMNS)
+    known = materialize(aligned.select("event_id", *MODEL_COLUMNS, F.col("kind").isin("purchase", "signup").cast("int").alias("sale")))
+    trainer = training.Trainer({"categorical_imputer_strategy": "constant", "numeric_imputer_strategy": "median"}, "sale", "event_id")
+    params = {"n_estimators": 1, "max_depth": 6, "bootstrap": False, "max_features": "all"}
+    return training.refit(known, trainer, "random_forest", params)[0]
 
 
-@query(
-    "stream_scoring",
-    f"""WITH a AS ({_ALIGNED}), p AS (SELECT event_id, coalesce(value, 0) / 500 AS s FROM a)
-        SELECT event_id, round(s, 8) AS fraud_probability, CASE WHEN s >= 0.4 THEN 1 ELSE 0 END AS prediction,
-        CASE WHEN s >= 0.4 THEN 'Fraud' ELSE 'Legitimate' END AS label FROM p""",
-)
+_SALES = f"""WITH a AS ({_ALIGNED}), p AS (SELECT event_id, CASE WHEN kind IN ('purchase', 'signup') THEN 1 ELSE 0 END AS prediction FROM a)
+    SELECT event_id, CAST(prediction AS DOUBLE) AS fraud_probability, prediction, CASE WHEN prediction = 1 THEN 'Fraud' ELSE 'Legitimate' END AS label"""
+
+
+@query("score_model", _SALES + ", CAST(1 AS DOUBLE) AS confidence, CAST(0.5 AS DOUBLE) AS decision_threshold FROM p")
+def score_model(spark, sf_dir):
+    """A batch of payloads through the fitted model."""
+    parsed = payloads(table(spark, sf_dir, "events")).select("event_id", scoring.parse_payload(F.col("payload")).alias("features"))
+    found = scoring.score(scoring.align_features(parsed.where("features IS NOT NULL"), MODEL_COLUMNS), event_model(spark, sf_dir))
+    return found.select("event_id", rounded("fraud_probability", 8), "prediction", "label", rounded("confidence", 8), "decision_threshold")
+
+
+@query("stream_scoring", _SALES + " FROM p")
 def stream_scoring(spark, sf_dir):
-    stream = jobs.stream_score(payloads(event_stream(spark, sf_dir)), MODEL_COLUMNS, event_scorer, threshold=0.4)
+    """The same payloads as a stream, through the fitted model."""
+    model = event_model(spark, sf_dir)
+    scorer = lambda df: scoring.with_scores(df, model, "fraud_probability")
+    stream = jobs.stream_score(payloads(event_stream(spark, sf_dir)), MODEL_COLUMNS, scorer, threshold=model.decision_threshold)
     stream = stream.select("event_id", "fraud_probability", "prediction", "label")
     found = jobs.run_to_table(stream, scratch_path(spark, "stream-scoring"))
     return found.select("event_id", rounded("fraud_probability", 8), "prediction", "label")

@@ -333,7 +333,17 @@ def impute_median(spark, sf_dir):
 
 @query("impute_constant", "SELECT txn_id, coalesce(card4, 'missing') AS card4, coalesce(p_email, 'missing') AS p_email FROM txn", "txn")
 def impute_constant(spark, sf_dir):
-    return transactions(spark, sf_dir).select("txn_id", *[F.coalesce(c, F.lit("missing")).alias(c) for c in ("card4", "p_email")])
+    """The encoder's one-hot vectors, read back as the values their slots stand for."""
+    names = ["card4", "p_email"]
+    df = transactions(spark, sf_dir).select("txn_id", *names)
+    model = encoders.CategoryEncoder({"strategy": "constant", "fill_value": "missing"}, names).fit(df)
+    found = model.transform(df).select("txn_id", vector_to_array("category_vector").alias("hot"))
+    for c in names:
+        rows, text_bytes = model.get_fitted()["size"][c]
+        at = F.array_position(F.slice("hot", model.get_fitted()["offset"][c] + 1, rows), F.lit(1.0)) - 1
+        values = model.tables["slots"].where(F.col("column") == c).select(F.col("slot").cast("long").alias("at"), F.col("value").alias(c))
+        found = found.withColumn("at", at).join(joins.sized(values, rows, text_bytes), "at", "left").drop("at")
+    return found.select("txn_id", *names)
 
 
 @query(

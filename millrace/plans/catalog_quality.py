@@ -230,12 +230,6 @@ def gate_decision(spark, sf_dir):
     return quality.gate(quality.issues_frame(spark, found))
 
 
-@query("validation_run")
-def validation_run(spark, sf_dir):
-    reference, current = slices(spark, sf_dir)
-    return validate(current, CONFIG, reference).issues_table(spark).select("check", "severity", "column", "message")
-
-
 # -- drift ----------------------------------------------------------------------------------
 
 _REF, _CUR = "txn_dt < 240000000", "txn_dt >= 240000000"
@@ -437,6 +431,33 @@ def drift_status(spark, sf_dir):
     return found.withColumn("share_of_drifted_columns", rounded("share_of_drifted_columns"))
 
 
+# The suite's issues over the later slice only; the drift rules look at both slices.
+_LATE_ISSUES = f"(WITH txn AS (SELECT * FROM late) {_SUITE_SQL} SELECT \"check\", severity, \"column\" FROM issues)"
+_LATE_RULES = " UNION ALL ".join(_rule_sql(*r) for r in _TYPE_RULES + _RANGE_RULES + _ALLOWED_RULES)
+_VALIDATION_SQL = f"""
+, late AS (SELECT * FROM txn WHERE {_CUR}),
+broken AS (SELECT 0 AS rule, txn_id, 'txn_dt' AS "column", 'max' AS kind, CAST(txn_dt AS VARCHAR) AS value FROM late WHERE txn_dt > 300000000
+    UNION ALL SELECT 1, txn_id, 'txn_amt', 'not_nullable', 'None' FROM late WHERE txn_amt IS NULL
+    UNION ALL SELECT 2, txn_id, 'txn_amt', 'min', CAST(txn_amt AS VARCHAR) FROM late WHERE txn_amt < 5000),
+listed AS (SELECT 'schema_contract' AS "check", 'error' AS severity, "column",
+    concat('Column ', chr(39), "column", chr(39), ' breaks the rule ', chr(39), kind, chr(39), ' at ', chr(39), txn_id, chr(39), ' with ', chr(39), value, chr(39), '.') AS failure
+    FROM broken ORDER BY rule, txn_id LIMIT 30)
+SELECT * FROM listed
+UNION ALL SELECT 'schema_contract', 'error', NULL, CAST(sum(n) - 30 AS BIGINT) || ' further failing values.' FROM (WITH txn AS (SELECT * FROM late) {_LATE_RULES}) c
+UNION ALL SELECT "check", severity, "column", NULL FROM {_LATE_ISSUES} i
+UNION ALL SELECT 'numeric_distribution_drift', 'warning', "column", NULL FROM ({" UNION ALL ".join(_ks_sql(c) for c in ("txn_amt", "txn_dt", "card1"))}) k WHERE ks > 0.25
+UNION ALL SELECT 'categorical_distribution_drift', 'warning', "column", NULL FROM ({" UNION ALL ".join(_js_sql(c) for c in ("product_cd", "card4", "p_email"))}) j WHERE js > 0.2
+"""
+
+
+@query("validation_run", _VALIDATION_SQL, "txn")
+def validation_run(spark, sf_dir):
+    """The issues of the whole gate; the texts are shown for failing values, which they name."""
+    reference, current = slices(spark, sf_dir)
+    issues = validate(current, CONFIG, reference).issues_table(spark)
+    return issues.select("check", "severity", "column", F.when(F.col("check") == "schema_contract", F.col("message")).alias("failure"))
+
+
 @query("quality_comparison", _numeric_profile_rows(_REF, "reference") + " UNION ALL " + _numeric_profile_rows(_CUR, "current"), "txn")
 def compare_quality(spark, sf_dir):
     reference, current = slices(spark, sf_dir)
@@ -470,7 +491,37 @@ MONITORING = {
 }
 
 
-@query("monitoring_run")
+def _two_table_scores(report, now):
+    """Scores of the table ``now`` against ``early``, under the name of a report."""
+    numeric = [
+        f"""SELECT '{report}' AS report, '{c}' AS "column", sum(abs(f - g) * coalesce(nx - x, 0)) / greatest((SELECT stddev_pop({c}) FROM early), 0.001) AS score FROM
+        (SELECT x, lead(x) OVER (ORDER BY x) AS nx, sum(p) OVER (ORDER BY x) / sum(p) OVER () AS f, sum(q) OVER (ORDER BY x) / sum(q) OVER () AS g FROM
+        (SELECT x, sum(p) AS p, sum(q) AS q FROM (SELECT {c} AS x, 1 AS p, 0 AS q FROM early UNION ALL SELECT {c}, 0, 1 FROM {now}) u WHERE x IS NOT NULL GROUP BY x))"""
+        for c in ("txn_amt", "txn_dt", "card1")
+    ]
+    share = lambda c, t: f"(SELECT {c} AS value, count(*) / sum(count(*)) OVER () AS share FROM {t} WHERE {c} IS NOT NULL GROUP BY 1)"
+    texts = [
+        f"""SELECT '{report}', '{c}', sqrt(greatest(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2, 0))
+        FROM (SELECT coalesce(a.share, 0) AS p, coalesce(b.share, 0) AS q FROM {share(c, "early")} a FULL JOIN {share(c, now)} b ON a.value = b.value)"""
+        for c in ("product_cd", "card4", "card6", "p_email", "is_fraud")
+    ]
+    return " UNION ALL ".join(numeric + texts)
+
+
+# Any two random halves lead to the same verdict, so the SQL draws its own.
+_MONITORING_SQL = f"""
+, early AS (SELECT * FROM txn WHERE hash(txn_id) % 2 = 0), clean AS (SELECT * FROM txn WHERE hash(txn_id) % 2 = 1),
+moved AS (SELECT txn_amt * 4 AS txn_amt, txn_dt + 1209600 AS txn_dt, card1 + 5000 AS card1, card6, is_fraud,
+    CASE WHEN hit THEN '1' ELSE product_cd END AS product_cd, CASE WHEN hit THEN 'drifted.example.com' ELSE p_email END AS p_email,
+    CASE WHEN hit THEN 'BUILDING' ELSE card4 END AS card4 FROM (SELECT *, hash(txn_id + 1000003) % 4 < 3 AS hit FROM clean)),
+s AS ({_two_table_scores("baseline", "clean")} UNION ALL {_two_table_scores("drift", "moved")})
+SELECT report, count(*) AS number_of_columns, count(*) FILTER (WHERE score >= 0.1) AS number_of_drifted_columns,
+    round(count(*) FILTER (WHERE score >= 0.1) / count(*), 6) AS share_of_drifted_columns, count(*) FILTER (WHERE score >= 0.1) / count(*) >= 0.5 AS dataset_drift,
+    coalesce(string_agg("column", ',' ORDER BY "column") FILTER (WHERE score >= 0.1), '') AS drifted FROM s GROUP BY report
+"""
+
+
+@query("monitoring_run", _MONITORING_SQL, "txn")
 def monitoring_run(spark, sf_dir):
     found = run_monitoring(
         transactions(spark, sf_dir), "txn_id", "is_fraud", MONITORING, ["txn_amt", "txn_dt", "card1"],
