@@ -125,15 +125,21 @@ def repeated(rows: pd.DataFrame) -> pd.DataFrame:
     hit = twice.copy()
     hit[1:] |= equal
     hit[:-1] |= equal
+    extra = extra[order][hit] if len(extra) else extra
     value, owner = value[hit], owner[hit]
     back = np.argsort(owner, kind="stable")
     value, cut = value[back], np.searchsorted(owner[back], np.arange(len(rows) + 1))
-    out = [(int(g), value[a:b].tobytes()) for g, a, b in zip(rows["grp"], cut[:-1], cut[1:]) if a < b]
-    return pd.DataFrame(out, columns=["grp", "hashes"])
+    extra = extra[back] if len(extra) else extra
+    out = [(int(g), value[a:b].tobytes(), extra[a:b].tobytes()) for g, a, b in zip(rows["grp"], cut[:-1], cut[1:]) if a < b]
+    return pd.DataFrame(out, columns=["grp", "hashes", "extra"])
 
 
-def _answers(replies: pd.DataFrame) -> np.ndarray:
-    return np.sort(np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(b, np.uint64) for b in replies["hashes"]]]))
+def _answers(replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of all replies, and their extra hashes where they have some."""
+    value = np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(b, np.uint64) for b in replies["hashes"]]])
+    extra = np.concatenate([np.empty(0, np.uint32), *[np.frombuffer(b, np.uint32) for b in replies["extra"]]])
+    order = np.lexsort((extra, value)) if len(extra) else np.argsort(value)
+    return value[order], extra[order] if len(extra) else extra
 
 
 def _isin(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -142,6 +148,17 @@ def _isin(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
 
 
+def _both_in(known: tuple[np.ndarray, np.ndarray], value: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """Which pairs of hashes are known: the entries with an equal first hash are tried one after the other."""
+    hit, at = np.zeros(len(value), bool), np.searchsorted(known[0], value)
+    todo = np.arange(len(value))
+    while len(todo := todo[at[todo] < len(known[0])]) and len(todo := todo[known[0][at[todo]] == value[todo]]):
+        hit[todo] = known[1][at[todo]] == extra[todo]
+        todo = todo[~hit[todo]]
+        at[todo] += 1
+    return hit
+
+
 def _words(text: str | None) -> np.ndarray:
     return word_hashes(text.encode()) if text else np.empty(0, np.uint64)
 
@@ -159,7 +176,7 @@ def name_step(docs: pd.DataFrame, window: int, ranges: int) -> pd.DataFrame:
 def window_step(docs: pd.DataFrame, replies: pd.DataFrame, window: int, ranges: int) -> pd.DataFrame:
     if not len(docs):
         return blocks(0, np.empty(0, np.uint64), None, ranges)
-    known, first, second = _answers(replies), [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
+    (known, _), first, second = _answers(replies), [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
     for text in docs["text"]:
         words = _words(text)
         if len(words) >= window:
@@ -176,8 +193,8 @@ def cover_step(docs: pd.DataFrame, replies: pd.DataFrame, window: int, with_text
     for row, text in zip(docs["row"], docs["text"]):
         words = (text or "").encode().split()
         kept, gone = words, 0
-        if len(words) >= window and len(known):
-            hit = np.flatnonzero(_isin(known, windows(_words(text), window)[0]))
+        if len(words) >= window and len(known[0]):
+            hit = np.flatnonzero(_both_in(known, *windows(_words(text), window)))
             if len(hit):
                 change = np.zeros(len(words) + 1, np.int64)
                 change[hit] = 1
@@ -205,7 +222,7 @@ def remove_repeats(
     rows = rows.select("row", "text", F.pmod(F.xxhash64("row", F.col("text")), F.lit(groups)).cast("int").alias("grp"))
 
     def answers(sent: DataFrame) -> DataFrame:
-        return scratch.save(sent.groupBy("range").applyInPandas(repeated, "grp int, hashes binary"))
+        return scratch.save(sent.groupBy("range").applyInPandas(repeated, "grp int, hashes binary, extra binary"))
 
     named = answers(rows.groupBy("grp").applyInPandas(lambda d: name_step(d, window, ranges), BLOCKS))
     scratch.free()

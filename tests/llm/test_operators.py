@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from conftest import SF_DIR
 from millrace.llm import toxicity as tox
 from millrace.llm.exactdedup import CuckooIndex, drop_copies, exact_groups
-from millrace.llm.langid import BLOCK, _fitted, _plain, identify, phrases
+from millrace.llm.langid import BLOCK, _fitted, _plain, identify, learn, phrases
 from millrace.llm.mixing import TEMPER, mix_documents
 from millrace.llm.neardup import Tree, fingerprint, link, near_groups
 from millrace.llm.pieces import MODEL, decode, encode, segment_sorted
-from millrace.llm.repeats import remove_repeats, symbols
+from millrace.llm.repeats import _both_in, remove_repeats, symbols
 from millrace.llm.shards import assign_shards
 from millrace.llm.tokencount import CountTrie, count_tokens, pre_tokens
 from millrace.llm.topk import top_k
@@ -162,6 +162,16 @@ def test_repeats(request, name, window):
     assert sorted((tuple(r) for r in got), key=repr) == plain_repeats(pairs_of(frame), window)
 
 
+def test_windows_match_by_both_hashes():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 40, 400):
+        known = sorted({(int(a), int(b)) for a, b in rng.integers(0, 12, (n, 2))})
+        pair = np.array(known, np.int64).reshape(-1, 2)
+        value, extra = rng.integers(0, 14, 300).astype(np.uint64), rng.integers(0, 14, 300).astype(np.uint32)
+        got = _both_in((pair[:, 0].astype(np.uint64), pair[:, 1].astype(np.uint32)), value, extra)
+        assert got.tolist() == [(int(a), int(b)) in known for a, b in zip(value, extra)]
+
+
 def test_equal_passages_get_equal_names():
     rng = np.random.default_rng(3)
     for alphabet in (3, 50):
@@ -203,6 +213,19 @@ def test_identify(spark, docs):
     assert all(by_id[i]["lang_pred"] == "und" and by_id[i]["score"] == 0 for i in (4, 5, 9, 13)) and by_id[8]["lang_pred"] != "und"
 
 
+def test_samples_of_repeated_ids(spark):
+    """A hot id takes one place of the sample, whatever its rows; ids without label and held-out ids take none."""
+    rows = [(1, f"copy {i:03d}", "en") for i in range(300)] + [(i, f"row {i}", "en") for i in range(2, 40)] + [(50, "un texte", "fr"), (51, "no label", None), (None, "no id", "en")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = dict(learn(frame))
+    held = {i for i in range(60) if zlib.crc32(str(i).encode()) % 4 == 2}
+    want = {f"row {i}" for i in range(2, 40) if i not in held} | ({"copy 000"} - ({"copy 000"} if 1 in held else set()))
+    assert set(got["en"].decode().split("\n")) == want and set(got) == {"en"} | ({"fr"} if 50 not in held else set())
+    assert len(dict(learn(frame, sample_docs=5))["en"].split(b"\n")) == 5 and set(dict(learn(frame, sample_chars=3))["en"].split(b"\n")) <= {b"row", b"cop"}
+    with pytest.raises(ValueError):
+        learn(spark.range(500).selectExpr("id AS doc_id", "'a' AS text", "CAST(id AS STRING) AS lang"), all_bytes=256, sample_docs=2)
+
+
 def plain_viterbi(unit, v):
     best = [(0.0, [])]
     for end in range(1, len(unit) + 1):
@@ -261,6 +284,7 @@ def test_toxicity(spark, docs):
     toxic, calm = got.score[got.toxic == 1], got.score[got.toxic == 0]
     assert (toxic.to_numpy()[:, None] > calm.to_numpy()[None, :]).mean() > 0.75 and got.score.between(0, 1).all()
     assert (got.predicted == (got.score >= 0.3)).all()
+    assert tox.learn(big.unionByName(big).unionByName(big), labels, positives=3, negatives=4) is not None  # each id counts once
     none = tox.score_toxicity(docs, labels.where("doc_id < 0")).collect()
     assert len(none) == len(ROWS) and {(r["score"], r["predicted"]) for r in none} == {(0.0, 0)}
     assert tox.windows_of(np.arange(1, 50)).shape == (3, tox.WINDOW) and tox.words_of("Ab " + "c" * 100) == ["ab", "c" * 48, "c" * 48, "c" * 4]
