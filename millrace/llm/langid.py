@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Scratch
 from .common import held_out
 
 UNKNOWN = "und"
@@ -130,18 +131,22 @@ def predict(texts: list[str | None], samples: tuple[tuple[str, bytes], ...], chu
     return langs, scores
 
 
-def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_bytes: int = 32_768, all_bytes: int = 4_194_304, sample_docs: int = 64) -> tuple[tuple[str, bytes], ...]:
-    """Labelled text per language, from rows that are not held out: the ``sample_docs`` rows of each language that come first by
-    a hash of the id, in turn up to 2,048 characters of each, until ``sample_bytes`` are full (``all_bytes`` over all languages). These bounds hold
-    for learning only. A hot language is cut to its first rows within each task, before the shuffle."""
-    drawn = docs.select(F.col(doc_id).alias("doc_id"), F.substring(F.col(text), 1, 2048).alias("text"), F.col(lang).alias("lang"))
+def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_bytes: int = 32_768, all_bytes: int = 4_194_304, sample_docs: int = 64, sample_chars: int = 2048) -> tuple[tuple[str, bytes], ...]:
+    """Labelled text per language, from rows that are not held out: the ``sample_docs`` ids of each language that come first by
+    a hash of the id, in turn up to ``sample_chars`` characters of each, until ``sample_bytes`` are full (``all_bytes`` over all languages). These
+    bounds hold for learning only. Of rows that share id and label, one counts. A hot language is cut to its first ids within each
+    task, before the shuffle. More labels than ``all_bytes`` have room for, at 256 bytes each, are no languages and raise."""
+    drawn = docs.select(F.col(doc_id).alias("doc_id"), F.substring(F.col(text), 1, sample_chars).alias("text"), F.col(lang).alias("lang"))
     drawn = drawn.where(~held_out("doc_id") & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
-    keys = drawn.select("doc_id", "lang", F.xxhash64("doc_id", F.lit("sample")).alias("h"))
+    keys = drawn.select("doc_id", "lang").distinct().withColumn("h", F.xxhash64("doc_id", F.lit("sample")))
     first = keys.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("place") <= sample_docs)
-    rows = drawn.withColumn("h", F.xxhash64("doc_id", F.lit("sample"))).join(F.broadcast(first.select("doc_id", "lang", "place").distinct()), ["doc_id", "lang"])
     by_lang: dict[str, list[tuple[int, str]]] = {}
-    for r in rows.select("lang", "place", "text").collect():
-        by_lang.setdefault(r["lang"], []).append((r["place"], r["text"]))
+    with Scratch(docs.sparkSession) as scratch:
+        chosen = scratch.save(first.select("doc_id", "lang", "place"))
+        if chosen.count() > sample_docs * (all_bytes // 256):
+            raise ValueError(f"column {lang} has too many values for a column of languages")
+        for r in drawn.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "place").agg(F.min("text").alias("text")).collect():
+            by_lang.setdefault(r["lang"], []).append((r["place"], r["text"]))
     each = min(sample_bytes, max(256, all_bytes // max(1, len(by_lang))))
     return tuple((name, b"\n".join(_plain(t) for _, t in sorted(got))[:each]) for name, got in sorted(by_lang.items()))
 

@@ -279,11 +279,13 @@ class Scorer:
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = 1500, negatives: int = 3000, longest: int = 12_000) -> Network | None:
     """Fit on labelled rows that are not held out: those of each label that come first by a hash of the id, at most so many, of texts
-    up to ``longest`` characters. Several labels of one id count as their highest. None when a label has no row."""
+    up to ``longest`` characters. Several labels of one id count as their highest, and several texts as the one that sorts first. None when a
+    label has no row."""
     marked = labels.where(~held_out(doc_id) & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).alias("label"))
     drawn = [marked.where(F.col("label") == k).orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id").limit(n) for k, n in ((1, positives), (0, negatives))]
     sample = drawn[0].unionByName(drawn[1])
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") <= longest).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") <= longest).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
     got = sorted((tuple(r) for r in rows.collect()), key=lambda r: (r[0], r[1]))
     marks = np.array([r[2] for r in got], np.int64)
     if not len(got) or marks.min() == marks.max():
