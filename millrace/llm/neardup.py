@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .common import free_name
 from .components import components
 
 RADIUS = 2
@@ -183,12 +182,3 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.save(rooted.join(least, "root").select("print", "component_id"))
     return marks.join(named, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """The rows of each group's smallest doc_id, with all their columns. Rows without an id stay. Of rows that share that id, all
-    stay: exact copies are another operator's."""
-    groups = near_groups(docs, doc_id, text, words)
-    gone = free_name(docs, "gone_id")
-    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(dropped, F.col(doc_id) == F.col(gone), "left_anti")
