@@ -482,7 +482,7 @@ def slice_performance(spark, sf_dir):
 
 
 MONITORING = {
-    "sample_size": 5000,
+    "sample_size": None,  # all rows, as in the SQL
     "drifted_numeric_columns": ["txn_amt", "txn_dt", "card1"],
     "drifted_categorical_columns": ["product_cd", "p_email", "card4"],
     "numeric_multiply": {"txn_amt": 4.0},

@@ -130,6 +130,20 @@ def test_monitoring_run(spark, txn):
     assert found.performance is None
 
 
+def test_monitoring_query_takes_all_rows(spark, txn, monkeypatch):
+    """Both halves together hold every row, however long the table (10,000 rows were the most before)."""
+    from millrace.plans import catalog_quality, monitoring
+
+    sliced = []
+    cut = monitoring.monitoring_slices
+    monkeypatch.setattr(monitoring, "monitoring_slices", lambda df, *a: sliced.append((df.count(), out := cut(df, *a))) or out)
+    monkeypatch.setattr(catalog_quality, "transactions", lambda spark, sf_dir: long)
+    long = txn.crossJoin(spark.range(-(-10_500 // txn.count())).withColumnRenamed("id", "_n")).withColumn("txn_id", F.col("txn_id") * 1000 + F.col("_n")).drop("_n")
+    catalog_quality.monitoring_run(spark, None)
+    (rows, found), = sliced
+    assert rows > 10_000 and found.count() == rows
+
+
 def test_monitoring_with_a_model(spark, txn):
     from pyspark.ml.feature import SQLTransformer
 
