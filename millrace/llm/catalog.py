@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exactdedup import exact_groups
+from .importance import resample, resample_sql
 from .langid import identify
 from .mixing import mix_documents, mixing_sql
 from .neardup import near_groups
@@ -102,3 +103,8 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op11_importance_resampling", resample_sql())
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

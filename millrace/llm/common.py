@@ -70,3 +70,14 @@ def word_hashes(raw: bytes) -> np.ndarray:
     np.cumsum(_BYTE_VALUE[data] * powers(_MULTIPLIER, len(data)), out=sums[1:])
     value = (sums[end] - sums[start]) * powers(_INVERSE, len(data))[start]
     return mix(value + (end - start).astype(np.uint64))
+
+
+CRC_TABLE_SQL = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc_row)"""
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes as DuckDB SQL, in a query over the one-row table ``crc_table`` (CRC_TABLE_SQL)."""
+    digits = f"hex(encode({text}))"
+    pairs = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substr({digits}, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(list_reduce({pairs}, lambda c, b: xor(c >> 8, crc_row[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
