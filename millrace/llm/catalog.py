@@ -14,6 +14,7 @@ from .langid import identify
 from .mixing import mix_documents, mixing_sql
 from .neardup import near_groups
 from .pieces import encode
+from .repair import repair, repair_sql
 from .repeats import remove_repeats
 from .shards import assign_shards
 from .tokencount import count_tokens
@@ -108,3 +109,8 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_importance_resampling", resample_sql())
 def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_conversation_repair", repair_sql())
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations"))
