@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exactdedup import exact_groups
 from .importance import resample, resample_sql
+from .katz import score_sql, score_texts
 from .langid import identify
 from .mixing import mix_documents, mixing_sql
 from .neardup import near_groups
@@ -114,3 +115,9 @@ def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_conversation_repair", repair_sql())
 def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_katz_lm_score", score_sql())
+def katz_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(table(spark, sf_dir, "documents"), written=True)
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
