@@ -202,7 +202,9 @@ def count_pairs(rows: pd.DataFrame, single: Words, hot: int) -> pd.DataFrame:
     out[0] = (*out[0][:5], _stats(total), None, None, None)
     for i in np.unique(of[is_hot[order][first]]).tolist():
         out.append((None, None, None, None, None, None, int(value[i : i + 1].view(np.int64)[0]), seen[i].tolist(), float(lower[i])))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWERS.split(", ")]).astype({"grp": "Int64", "owner": "Int32", "context": "Int64"})
+    kinds = {"long": "Int64", "int": "Int32"}  # nullable, as numbers beside nulls would turn into floats
+    columns = [c.split() for c in ANSWERS.split(", ")]
+    return pd.DataFrame({name: pd.Series(list(values), dtype=kinds.get(kind, "object")) for (name, kind), values in zip(columns, zip(*out))})
 
 
 def score_step(docs: pd.DataFrame, replies: pd.DataFrame, owners: int, hot: int, single: Words, factor: np.ndarray, sums: tuple[np.ndarray, ...]) -> pd.DataFrame:

@@ -51,4 +51,4 @@ def test_run_is_registered(spark):
     rows = driver.queries()["pipeline"](spark, SF_DIR)
     assert 0 < rows.count() <= 200 and rows.where(F.col("n_pieces") != F.size("ids")).count() == 0
     names = [q for q in driver.queries() if q.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
