@@ -1,4 +1,4 @@
-"""Shared pieces: whitespace, held-out rows, byte-level word hashing, sizes."""
+"""Shared pieces: white space, held-out rows, sizes, scrambling, CRC-32 in SQL."""
 
 from __future__ import annotations
 
@@ -7,11 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[list(SPACES)] = True
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_BYTE_VALUE = np.random.default_rng(20240131).integers(1, 2**64 - 1, 256, dtype=np.uint64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,23 +50,6 @@ def powers(base: np.uint64, n: int, _known: dict = {}) -> np.ndarray:
     return out[:n]
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a text, in order; words are runs of bytes other than ASCII white space.
-
-    The hash is a polynomial over random byte values, taken for all words at once from running sums.
-    """
-    data = np.frombuffer(raw, np.uint8)
-    if not len(data):
-        return np.empty(0, np.uint64)
-    inside = np.concatenate(([False], ~_IS_SPACE[data], [False]))
-    turns = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = turns[::2], turns[1::2]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * powers(_MULTIPLIER, len(data)), out=sums[1:])
-    value = (sums[end] - sums[start]) * powers(_INVERSE, len(data))[start]
-    return mix(value + (end - start).astype(np.uint64))
-
-
 CRC_TABLE_SQL = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8),
   lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc_row)"""
 

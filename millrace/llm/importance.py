@@ -17,69 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
 from .common import CRC_TABLE_SQL, crc32_sql, pieces_for
+from .words import Stream
 
 BLOCK = 4_000_000  # bytes of text whose features are interned together
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = [c if chr(c).isalnum() else 32 for c in bytes(range(128)).lower()]
 _BREAK = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
-# fixed values of XXH64
-_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
-
-
-def _rotate(x: np.ndarray, by: int) -> np.ndarray:
-    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
-
-
-class Stream:
-    """Bytes of many words, and features as (start, length) in it."""
-
-    def __init__(self, data: np.ndarray) -> None:
-        self.bytes = np.concatenate((data, np.zeros(8, np.uint8)))
-        self._eights = np.ndarray(len(data) + 1, "<u8", self.bytes, strides=(1,))
-
-    def load(self, at: np.ndarray, width: np.ndarray | int = 8) -> np.ndarray:
-        """Up to eight bytes from each position, as a little-endian number."""
-        unused = np.uint64(8) * (np.uint64(8) - np.minimum(width, 8).astype(np.uint64)) if isinstance(width, np.ndarray) else np.uint64(64 - 8 * width)
-        return (self._eights[at] << unused) >> unused
-
-    def hashes(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """XXH64 with seed 0 of every feature: below 32 bytes for all at once, longer ones one by one."""
-        h = _P5 + length.astype(np.uint64)
-        for at in (0, 8, 16):
-            some = np.flatnonzero(length >= at + 8)
-            h[some] = _rotate(h[some] ^ (_rotate(self.load(start[some] + at) * _P2, 31) * _P1), 27) * _P1 + _P4
-        done = length & ~7
-        some = np.flatnonzero(length & 4)
-        h[some] = _rotate(h[some] ^ (self.load(start[some] + done[some], 4) * _P1), 23) * _P2 + _P3
-        done = length & ~3
-        for at in range(3):
-            some = np.flatnonzero(length & 3 > at)
-            h[some] = _rotate(h[some] ^ (self.bytes[start[some] + done[some] + at].astype(np.uint64) * _P5), 11) * _P1
-        h = (h ^ (h >> np.uint64(33))) * _P2
-        h = (h ^ (h >> np.uint64(29))) * _P3
-        h ^= h >> np.uint64(32)
-        for i in np.flatnonzero(length >= 32).tolist():
-            h[i] = xxhash.xxh64_intdigest(self.feature(start[i], length[i]))
-        return h
-
-    def feature(self, start: int, length: int) -> memoryview:
-        return self.bytes[start : start + length].data
-
-    def equal(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Whether the bytes of two features of equal length are the same."""
-        same, todo = np.ones(len(a), bool), np.arange(len(a))
-        for at in range(0, 64, 8):
-            todo = todo[length[todo] > at]
-            same[todo] &= self.load(a[todo] + at, length[todo] - at) == self.load(b[todo] + at, length[todo] - at)
-        for i in todo[length[todo] > 64].tolist():
-            same[i] = same[i] and self.feature(a[i], length[i]) == self.feature(b[i], length[i])
-        return same
 
 
 class Slots:

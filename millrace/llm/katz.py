@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 from .common import CRC_TABLE_SQL, SPACES, crc32_sql, mix
-from .importance import Stream
+from .exchange import cuts, packed, read_replies, scaled, unpacked
+from .words import Stream
 
 CUT = 5  # counts above are taken as they are
 BEGIN, END = np.uint64(0x1F2E3D4C5B6A7988), np.uint64(0x8E7D6C5B4A392817)
@@ -77,19 +78,21 @@ class Group:
         stop = np.cumsum(self.size) - 1
         hashes = np.insert(Stream(data).hashes(begin, length), np.cumsum(words), END)
         self.ids = np.unique(np.append(hashes, BEGIN))
-        self.token = np.searchsorted(self.ids, hashes)
-        before = np.concatenate((self.token[-1:], self.token[:-1]))
+        self.token = np.searchsorted(self.ids, hashes).astype(np.int32)
+        del data, inside, hashes
+        before = np.concatenate((self.token[-1:], self.token[:-1])).astype(np.int64)
         before[stop - self.size + 1] = np.searchsorted(self.ids, BEGIN)
         learned = np.repeat(docs["learned"].to_numpy(bool), self.size)
         self.count = np.bincount(self.token[learned], minlength=len(self.ids))
         key, self.pair = np.unique(before * len(self.ids) + self.token, return_inverse=True)
+        self.pair = self.pair.astype(np.int32)
         self.context, self.word = key // len(self.ids), key % len(self.ids)
         self.pair_count = np.bincount(self.pair[learned], minlength=len(key))
-        self.doc = np.repeat(np.arange(len(docs)), self.size)
+        self.doc = np.repeat(np.arange(len(docs), dtype=np.int32), self.size)
 
     def known(self, replies: pd.DataFrame, owners: int) -> np.ndarray:
         """How often every word of the dictionary was learned in the whole corpus; the begin of a text counts as often as its end."""
-        count = np.concatenate([unpacked(b) for b in replies.sort_values("owner")["counts"]])
+        count = read_replies(replies)
         count[np.searchsorted(self.ids, BEGIN)] = count[np.searchsorted(self.ids, END)]
         return count
 
@@ -101,35 +104,9 @@ class Group:
         return (mix(context + mix(word) % parts * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(owners)).astype(np.int64)
 
 
-def packed(count: np.ndarray) -> bytes:
-    """Small numbers as bytes, the low ones of all first, so that the zeros behind compress."""
-    return np.ascontiguousarray(count.astype("<u8").view(np.uint8).reshape(-1, 8).T[: _width(count)]).tobytes() + bytes([_width(count)])
-
-
-def _width(count: np.ndarray) -> int:
-    return max(1, -(-int(count.max(initial=0)).bit_length() // 8))
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    width = raw[-1]
-    out = np.zeros((8, (len(raw) - 1) // width), np.uint8)
-    out[:width] = np.frombuffer(raw, np.uint8, len(raw) - 1).reshape(width, -1)
-    return np.ascontiguousarray(out.T).view("<u8").ravel().astype(np.int64)
-
-
-def _cuts(owner: np.ndarray) -> list[tuple[int, int, int]]:
-    """(owner, from, to) of the runs of a sorted array; only owners that get something appear."""
-    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.empty(0, np.int64)
-    return list(zip(owner[first].tolist(), first.tolist(), np.append(first[1:], len(owner)).tolist()))
-
-
-def _scaled(ids: np.ndarray, owners: int) -> np.ndarray:
-    return (((ids >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)).astype(np.int64)
-
-
 def send_words(docs: pd.DataFrame, owners: int) -> pd.DataFrame:
     group, grp = Group(docs), int(docs["grp"].iloc[0])
-    rows = [(o, grp, group.ids[a:b].tobytes(), packed(group.count[a:b])) for o, a, b in _cuts(_scaled(group.ids, owners))]
+    rows = [(o, grp, group.ids[a:b].tobytes(), packed(group.count[a:b])) for o, a, b in cuts(scaled(group.ids, owners))]
     return pd.DataFrame(rows, columns=["owner", "grp", "ids", "counts"])
 
 
@@ -156,9 +133,9 @@ def send_pairs(docs: pd.DataFrame, replies: pd.DataFrame, owners: int, hot: int)
     known = group.known(replies, owners)
     owner = group.owner_of(known, hot, owners)
     order, rows = np.argsort(owner, kind="stable"), []
-    for o, a, b in _cuts(owner[order]):
+    for o, a, b in cuts(owner[order]):
         some = order[a:b]
-        runs = _cuts(group.context[some])
+        runs = cuts(group.context[some])
         context = np.array([c for c, _, _ in runs])
         rows.append((
             o, grp, group.ids[context].tobytes(), packed(np.array([y - x for _, x, y in runs])), packed(known[context]),
@@ -259,7 +236,7 @@ def _summed(table: DataFrame) -> list[int]:
 
 
 def score_texts(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_bytes: int = 12_000_000, owner_bytes: int = 6_000_000, hot: int | None = None, written: bool = False
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_bytes: int = 8_000_000, owner_bytes: int = 6_000_000, hot: int | None = None, written: bool = False
 ) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the whole text).
 

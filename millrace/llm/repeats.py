@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .common import mix, powers, word_hashes
+from .common import mix, powers
+from .exchange import cuts
+from .words import word_hashes
 
 ROUNDS = 3
 _PAIR, _RUN = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)

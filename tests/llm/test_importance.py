@@ -14,7 +14,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from conftest import SF_DIR
-from millrace.llm.importance import Slots, Stream, blocks, features, resample
+from millrace.llm.importance import Slots, blocks, features, resample
+from millrace.llm.words import Stream
 from test_operators import DOCS, ROWS
 
 

@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 
 from conftest import SF_DIR
-from millrace.llm.katz import CUT, _cuts, discounts, packed, score_texts, unpacked
+from millrace.llm.exchange import cuts, packed, unpacked
+from millrace.llm.katz import CUT, discounts, score_texts
 from test_operators import DOCS, ROWS
 
 
@@ -116,7 +117,7 @@ def test_rows_of_messages_do_not_grow_with_owners():
     rng = np.random.default_rng(2)
     for owners in (10, 10**6, 10**9):
         owner = np.sort(rng.integers(0, owners, 5000))
-        assert len(_cuts(owner)) == len(np.unique(owner)) <= 5000
+        assert len(cuts(owner)) == len(np.unique(owner)) <= 5000
 
 
 def test_discounts_lie_between_zero_and_one():

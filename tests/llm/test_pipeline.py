@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import combinations
 
 import pytest
 import regex
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as driver
 import corpus_pipeline
 from conftest import SF_DIR
-from test_operators import DOCS, ROWS, plain_print, smallest
+from test_operators import DOCS, ROWS, smallest
 
 
 def plain_stages(rows):
@@ -22,13 +23,18 @@ def plain_stages(rows):
     for r in named:
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r[1]), []).append(r)
     single = [min(g, key=lambda r: (-len(r[1]), r[0] is None, r[0] or 0)) for g in groups.values()]
-    prints = {plain_print(t) for _, t in single}
-    root = smallest(prints, [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 2])
-    least = {}
-    for i, t in single:
-        if i is not None:
-            least[root[plain_print(t)]] = min(i, least.get(root[plain_print(t)], i))
-    return [named, single, [r for r in single if r[0] is None or least[root[plain_print(r[1])]] == r[0]]]
+    sets = [shingles_of(t) for _, t in single]
+    root = smallest(range(len(single)), [(a, b) for a, b in combinations(range(len(single)), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
+    first = {}
+    for i, r in enumerate(single):
+        first[root[i]] = min(first.get(root[i], (True, 0, i)), (r[0] is None, r[0] or 0, i))
+    return [named, single, [single[i] for _, _, i in first.values()]]
+
+
+def shingles_of(text):
+    """Five-word shingles; near copies have a Jaccard similarity of 0.8 or more."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
 @pytest.mark.parametrize("given", ["small", "edge", "empty"])
