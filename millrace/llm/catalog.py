@@ -99,7 +99,7 @@ s AS (SELECT d, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM k G
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN s USING (d)""")
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return remove_repeats(table(spark, sf_dir, "documents"), window=35, written=True)
 
 
 @query("op10_language_id")

@@ -5,7 +5,8 @@ neighbour, where a hash of the name and the round decides the class. Names are h
 alike without a dictionary, and equal passages get equal names everywhere but near their ends: a name depends on the words
 of its own and of two neighbours on either side in each round, and that span of words is carried along: some 20 words after
 three rounds. Wherever the span's words recur, the name recurs. A name that occurs once in the whole corpus therefore
-rules out all windows that hold its span; only what is left is verified, window by window, by two independent hashes (96 bits).
+rules out all windows that hold its span; only what is left is compared, window by window, by 96 bits: of two hashes of its words, which
+are taken from XXH64 with two seeds and so do not collide together.
 
 Both checks work alike: tasks hold groups of documents and send each distinct hash once, in blocks by hash range;
 a range answers each group with those of its hashes that another group has, too. Hot passages thus cost one entry a group.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 from .common import mix, powers
-from .exchange import cuts
+from .exchange import cuts, scaled
 from .words import word_hashes
 
 ROUNDS = 3
@@ -68,12 +69,11 @@ def symbols(words: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.nda
     return state[0], state[3], state[4]
 
 
-def windows(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of every window of so many words: 64 and 32 bits."""
+def windows(words: np.ndarray, others: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of every window of so many words, 64 and 32 bits, from two hashes of each word."""
     n, out = len(words) - window + 1, []
-    for base, salt in zip(_BASES, (np.uint64(0), np.uint64(0x5851F42D4C957F2D))):
+    for base, value in zip(_BASES, (words, others)):
         inverse = np.uint64(pow(int(base), -1, 2**64))
-        value = mix(words + salt) if salt else words
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * powers(base, len(words)))))
         out.append(mix((sums[window:] - sums[:-window]) * powers(inverse, n)))
     return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
@@ -94,7 +94,8 @@ def possible(words: np.ndarray, window: int, is_single: Callable[[np.ndarray], n
 
 
 def blocks(group: int, hashes: np.ndarray, extra: np.ndarray | None, ranges: int) -> pd.DataFrame:
-    """The distinct hashes of a group as one row a hash range: the sorted hashes, their extra hashes, and which came twice."""
+    """The distinct hashes of a group as one row a hash range that has some, so at most one a hash: the sorted hashes, their extra
+    hashes, and which came twice."""
     if extra is None:
         value, n = np.unique(hashes, return_counts=True)
         more = np.empty(0, np.uint32)
@@ -103,9 +104,7 @@ def blocks(group: int, hashes: np.ndarray, extra: np.ndarray | None, ranges: int
         hashes, extra = hashes[order], extra[order]
         head = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (extra[1:] != extra[:-1])))) if len(hashes) else np.empty(0, np.int64)
         value, more, n = hashes[head], extra[head], np.diff(np.append(head, len(hashes)))
-    owner = ((value >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-    cut = np.searchsorted(owner, np.arange(ranges + 1, dtype=np.uint64))
-    rows = [(r, group, value[a:b].tobytes(), more[a:b].tobytes(), np.packbits(n[a:b] > 1).tobytes()) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
+    rows = [(r, group, value[a:b].tobytes(), more[a:b].tobytes(), np.packbits(n[a:b] > 1).tobytes()) for r, a, b in cuts(scaled(value, ranges))]
     return pd.DataFrame(rows, columns=["range", "grp", "hashes", "extra", "twice"])
 
 
@@ -161,8 +160,8 @@ def _both_in(known: tuple[np.ndarray, np.ndarray], value: np.ndarray, extra: np.
     return hit
 
 
-def _words(text: str | None) -> np.ndarray:
-    return word_hashes(text.encode()) if text else np.empty(0, np.uint64)
+def _words(text: str | None, seed: int = 0) -> np.ndarray:
+    return word_hashes(text.encode(), seed) if text else np.empty(0, np.uint64)
 
 
 def name_step(docs: pd.DataFrame, window: int, ranges: int) -> pd.DataFrame:
@@ -184,7 +183,7 @@ def window_step(docs: pd.DataFrame, replies: pd.DataFrame, window: int, ranges:
         if len(words) >= window:
             maybe = possible(words, window, lambda x: ~_isin(known, x))
             if maybe.any():
-                a, b = windows(words, window)
+                a, b = windows(words, _words(text, 1), window)
                 first.append(a[maybe])
                 second.append(b[maybe])
     return blocks(int(docs["grp"].iloc[0]), np.concatenate(first), np.concatenate(second), ranges)
@@ -196,7 +195,7 @@ def cover_step(docs: pd.DataFrame, replies: pd.DataFrame, window: int, with_text
         words = (text or "").encode().split()
         kept, gone = words, 0
         if len(words) >= window and len(known[0]):
-            hit = np.flatnonzero(_both_in(known, *windows(_words(text), window)))
+            hit = np.flatnonzero(_both_in(known, *windows(_words(text), _words(text, 1), window)))
             if len(hit):
                 change = np.zeros(len(words) + 1, np.int64)
                 change[hit] = 1
@@ -209,19 +208,22 @@ def cover_step(docs: pd.DataFrame, replies: pd.DataFrame, window: int, with_text
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = 35, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, group_bytes: int = 12_000_000, range_bytes: int = 8_000_000
+    docs: DataFrame, window: int = 35, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, group_bytes: int = 12_000_000, range_bytes: int = 8_000_000,
+    written: bool = False,
 ) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256, and kept_text on request.
 
     A word goes when a window of ``window`` words that covers it has the same words as a window that starts
     anywhere else. Null texts have no words; texts shorter than a window lose none; of repeated long
-    rows each loses all. Every group holds about ``group_bytes`` of text and every hash range about ``range_bytes`` of hashes, so tasks stay small at any size.
+    rows each loses all. Other columns are not read; an empty table gives no rows. Rows are dealt to groups by their number, so they have to come in
+    a fixed order: pass ``written`` for a table read from files; any other frame is written once. Every group holds about ``group_bytes`` of text and every hash range about ``range_bytes`` of hashes, so tasks stay small at any size.
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").cast("string").alias("row"), F.col(text).alias("text"))
+    rows = rows if written else scratch.save(rows)
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     groups, ranges = max(1, -(-size // group_bytes)), max(1, -(-2 * size // range_bytes))
-    rows = rows.select("row", "text", F.pmod(F.xxhash64("row", F.col("text")), F.lit(groups)).cast("int").alias("grp"))
+    rows = rows.select("row", "text", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int").alias("grp"))
 
     def answers(sent: DataFrame) -> DataFrame:
         return scratch.save(sent.groupBy("range").applyInPandas(repeated, "grp int, hashes binary, extra binary"))
