@@ -1,7 +1,7 @@
 """Shards of near-equal bytes by histogram sort.
 
-Rows are ordered by a 64-bit key: the upper half is a hash of the text, the lower half one of the id, so equal texts lie
-side by side and even a group of copies of any size can be cut. Splitters are found by counting: each round counts the exact
+Rows are ordered by a 64-bit key: the upper half is a hash of the text, the lower half one of the id and the row's number, so equal texts
+lie side by side and even a group of copies, or of repeated rows, of any size can be cut. Splitters are found by counting: each round counts the exact
 bytes and rows below some candidate keys over all partitions and narrows each splitter's interval, until its bytes are within
 tolerance. Rows are then exchanged once.
 """
@@ -22,9 +22,9 @@ LOW, HIGH = -(2**63), 2**63
 
 
 def sort_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """The ordering key: a hash of the text above a hash of the id."""
+    """The ordering key: a hash of the text above a hash of the id and the row's number, which has to be written with the row."""
     upper = F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.col(text)), 32), 32)
-    return upper.bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.col(doc_id)), 32))
+    return upper.bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.monotonically_increasing_id()), 32))
 
 
 def counts_below(keys: DataFrame, probes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +51,7 @@ def counts_below(keys: DataFrame, probes: list[int]) -> tuple[np.ndarray, np.nda
 def splitters(keys: DataFrame, parts: int, shards: int, tolerance: float = 0.001, loose: float = 0.2, probes: int = 4096) -> list[int]:
     """The ``parts - 1`` keys that cut the rows into parts of near-equal bytes. Every ``parts // shards``-th cut bounds a shard and is
     within ``tolerance`` of a shard's bytes; the others, which only deal out the work, within ``loose`` of a part's bytes.
-    A cut ends early where one key alone is heavier than that (rows equal in text and id)."""
+    A cut ends early where one key alone is heavier than that (one very long text)."""
     (total,), _ = counts_below(keys, [])
     targets = [total * i // parts for i in range(1, parts)]
     slack = [tolerance * total / shards if i % (parts // shards) == 0 else loose * total / parts for i in range(1, parts)]
@@ -85,8 +85,8 @@ def assign_shards(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Size is the text's UTF-8 bytes plus one (null text: 1). Shards differ in bytes by ``tolerance`` of a shard at most, plus the
-    heaviest key: repeated rows with equal id and text have one key and stay together. Slots count from 0 within a shard
-    in key order. An empty table gives no rows.
+    heaviest row. Repeated rows are dealt one by one, null ids like others. Slots count from 0 within a shard
+    in key order. Other columns are not read; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
     raw = F.coalesce(F.col(text), F.lit(""))

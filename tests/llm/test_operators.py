@@ -143,6 +143,16 @@ def test_shards(spark, small):
     assert got.text_crc32[got.doc_id == 7].item() == zlib.crc32(b"hot text " * 9)
 
 
+@pytest.mark.parametrize("row", [(7, "the same row " * 6), (None, "no id " * 11), (7, None)])
+def test_shards_cut_repeated_rows(spark, row):
+    """A third of the table is one row."""
+    frame = spark.createDataFrame([row] * 2000 + [(100 + i, "t" * (i % 90)) for i in range(4000)], "doc_id long, text string").withColumn("key", F.lit(1)).repartition(5)
+    got = assign_shards(frame, shards=8, part_rows=200).toPandas()
+    sums = got.groupby("shard")["size"].sum()
+    assert len(got) == 6000 and len(sums) == 8 and sums.max() - sums.min() <= 0.02 * sums.mean()
+    assert all(sorted(rows.slot) == list(range(len(rows))) for _, rows in got.groupby("shard"))
+
+
 def plain_repeats(rows, window):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
     seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
@@ -162,6 +172,17 @@ def test_repeats(request, name, window):
     assert sorted((tuple(r) for r in got), key=repr) == plain_repeats(pairs_of(frame), window)
 
 
+def test_repeats_of_colliding_words_and_rows(spark):
+    """Words that collide in any polynomial hash modulo 2**64; a third of the rows alike, with and without ids; a very long text."""
+    odd, even = "".join("ab"[i.bit_count() % 2] for i in range(1024)), "".join("ba"[i.bit_count() % 2] for i in range(1024))
+    tail = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{odd} {tail}"), (2, f"{even} {tail}"), (3, " ".join(f"u{i % 9000}" for i in range(30_000)))]
+    rows += [(None, "one row " * 30)] * 40 + [(4, "and another " * 25)] * 40 + [(100 + i, " ".join(f"d{i}x{j}" for j in range(50))) for i in range(160)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r) for r in remove_repeats(frame, group_bytes=3000, range_bytes=2000).collect()), key=repr)
+    assert got == plain_repeats(rows, 35) and [r[2] for r in got if r[0] in (1, 2)] == [0, 0]
+
+
 def test_windows_match_by_both_hashes():
     rng = np.random.default_rng(4)
     for n in (0, 1, 40, 400):
