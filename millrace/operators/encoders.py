@@ -38,6 +38,7 @@ from ..functions.expr import (
     email_parts,
     group_ratio,
     missing_features,
+    seeded_hash,
     time_features,
     to_number,
     value_text,
@@ -68,6 +69,11 @@ class _Settings(Params):
         return self
 
 
+def sized_vector(vector: Column, size: int, name: str) -> Column:
+    """A vector column that says how long it is, so that an assembler need not look at a row (which a stream does not allow)."""
+    return vector.alias(name, metadata={"ml_attr": {"num_attrs": size}})
+
+
 class _TableWriter(MLWriter):
     def __init__(self, instance):
         super().__init__()
@@ -151,19 +157,34 @@ def _keyed_rows(df: DataFrame, keys: Mapping[str, Mapping[str, Any]], extra: Map
     return base.select("_kv.key", "_kv.value", *extra)
 
 
+def fold_of(df: DataFrame, settings: Mapping[str, Any], passthrough: Sequence[str], target: str | None) -> Column | None:
+    """The fold (from 0) a row's target is left out with, by a hash of its key: the first carried column, or all features where none is carried.
+    NULL where target means are fitted in-sample (``target_mean_folds`` below 2, the default)."""
+    folds = int(settings.get("target_mean_folds") or 0)
+    if folds < 2:
+        return None
+    carried = [c for c in passthrough if c in df.columns]
+    return F.pmod(seeded_hash(int(settings.get("target_mean_seed", 42)), *(carried[:1] or [F.col(f"`{c}`") for c in df.columns if c != target])), F.lit(folds)).cast("int")
+
+
 def fit_encodings(
-    df: DataFrame, settings: Mapping[str, Any], target: str | None
+    df: DataFrame, settings: Mapping[str, Any], target: str | None, passthrough: Sequence[str] = ()
 ) -> tuple[DataFrame | None, dict[str, Any]]:
-    """(``key, value, frequency, target_mean, median`` table, fitted numbers)."""
+    """(``key, value, frequency, target_mean, median, left_out`` table, fitted numbers). ``left_out`` has a target mean per fold, of
+    the rows of the other folds alone; NULL without folds."""
     supervised = bool(target and target in df.columns)
     keys = encoding_keys(df, settings, supervised)
-    fitted: dict[str, Any] = {"keys": keys, "size": {}, "target_mean": 0.0, "median": 0.0, "tables": []}
+    fitted: dict[str, Any] = {"keys": keys, "size": {}, "target_mean": 0.0, "left_out": [], "median": 0.0, "tables": []}
     amount = settings.get("amount_column", "TransactionAmt")
     if not keys:
         return None, fitted
     y = to_number(df, target) if supervised else F.lit(None).cast("double")
-    total = df.select(y.alias("y")).agg(F.count(F.lit(1)).alias("rows"), F.avg("y").alias("mean")).first()
-    mean = total["mean"]
+    fold = fold_of(df, settings, passthrough, target) if supervised else None
+    folds = int(settings["target_mean_folds"]) if fold is not None else 1
+    of = (fold if fold is not None else F.lit(0)).alias("fold")
+    parts = {r["fold"]: r for r in df.select(y.alias("y"), of).groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.count("y").alias("n"), F.sum("y").alias("s")).collect()}
+    rows, n, total = (sum(r[c] or 0 for r in parts.values()) for c in ("rows", "n", "s"))
+    mean = total / n if n else None
     if mean is None:
         keys = {k: {**s, "uses": [u for u in s["uses"] if u != "target_mean"]} for k, s in keys.items()}
         keys = {k: s for k, s in keys.items() if s["uses"]}
@@ -171,15 +192,23 @@ def fit_encodings(
     if not keys:
         return None, fitted
     smoothing = float(settings.get("target_mean_smoothing", 20.0))
-    counted = _keyed_rows(df, keys, {"y": y}).groupBy("key", "value").agg(
+    counted = _keyed_rows(df, keys, {"y": y, "fold": of}).groupBy("key", "value", "fold").agg(
         F.count(F.lit(1)).alias("n"), F.count("y").alias("n_y"), F.sum("y").alias("sum_y")
     )
-    table = counted.select(
+    per_fold = F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n_y", F.coalesce("sum_y", F.lit(0.0)).alias("sum_y")))))
+    whole = counted.groupBy("key", "value").agg(F.sum("n").alias("n"), F.sum("n_y").alias("n_y"), F.sum("sum_y").alias("sum_y"), per_fold.alias("folds"))
+    left_out = F.lit(None).cast("array<double>")
+    if fold is not None and mean is not None:
+        others = [(n - r["n"], total - (r["s"] or 0.0)) if (r := parts.get(f)) else (n, total) for f in range(folds)]
+        fitted["left_out"] = [t / k if k else mean for k, t in others]
+        left_out = F.array(*[_left_out_mean(F.try_element_at("folds", F.lit(f)), prior, smoothing) for f, prior in enumerate(fitted["left_out"])])
+    table = whole.select(
         "key",
         "value",
-        (F.col("n").cast("double") / F.lit(total["rows"])).alias("frequency"),
+        (F.col("n").cast("double") / F.lit(rows)).alias("frequency"),
         F.when(F.col("n_y") > 0, (F.col("sum_y") + F.lit(smoothing * (mean or 0.0))) / (F.col("n_y") + F.lit(smoothing)))
         .alias("target_mean"),
+        left_out.alias("left_out"),
     )
     medians = {k: s for k, s in keys.items() if "median" in s["uses"]}
     if medians:
@@ -191,12 +220,20 @@ def fit_encodings(
     else:
         table = table.withColumn("median", F.lit(None).cast("double"))
     table = materialize(table)
-    sizes = table.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("b"))
+    # A fold's mean weighs as much as a character or two of text in a broadcast.
+    sizes = table.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 8 * len(fitted["left_out"])).alias("b"))
     fitted["size"] = {r["key"]: [r["n"], r["b"]] for r in sizes.collect()}
     fitted["tables"] = ["encodings"]
     return table, fitted
 
 
+def _left_out_mean(own: Column, prior: float, smoothing: float) -> Column:
+    """The smoothed mean of a value's rows outside one fold, given the fold's own count and sum."""
+    n = F.col("n_y") - F.coalesce(own["n_y"], F.lit(0))
+    total = F.coalesce("sum_y", F.lit(0.0)) - F.coalesce(own["sum_y"], F.lit(0.0))
+    return F.when(n > 0, (total + F.lit(smoothing * prior)) / (n + F.lit(smoothing))).otherwise(F.lit(prior))
+
+
 class FeatureEngineer(Estimator, _Settings, DefaultParamsReadable, DefaultParamsWritable):
     """Row features and fitted encodings, in a fixed order of columns."""
 
@@ -207,18 +244,34 @@ class FeatureEngineer(Estimator, _Settings, DefaultParamsReadable, DefaultParams
     def _fit(self, df: DataFrame) -> FeatureEngineerModel:
         own = self.get_settings()
         config = own["config"]
-        table, fitted = None, {"keys": {}, "size": {}, "target_mean": 0.0, "median": 0.0, "tables": []}
+        table, fitted = None, {"keys": {}, "size": {}, "target_mean": 0.0, "left_out": [], "median": 0.0, "tables": []}
         if config.get("use_feature_engineering", False):
-            table, fitted = fit_encodings(df, config, own["target"])
+            table, fitted = fit_encodings(df, config, own["target"], own["passthrough"])
         model = FeatureEngineerModel()._with(own, fitted)
         model.tables = {"encodings": table} if table is not None else {}
+        model._seen = df if fitted["left_out"] else None
         return model
 
 
 class FeatureEngineerModel(_TableModel):
+    """With ``target_mean_folds``, rows that are learned from get the target means of the other folds (``for_training``): also
+    the very frame the model was fitted on, when a pipeline passes it on to the stages behind. Other rows get those of all rows."""
+
+    _seen: DataFrame | None = None
+
     def _transform(self, df: DataFrame) -> DataFrame:
-        own, fitted = self.get_settings(), self.get_fitted()
-        return engineer(df, own["config"], fitted, self.tables.get("encodings"), own["target"], own["passthrough"])
+        if df is self._seen:
+            self._seen = None
+            return self.for_training(df)
+        return self._engineered(df, None)
+
+    def for_training(self, df: DataFrame) -> DataFrame:
+        own = self.get_settings()
+        return self._engineered(df, fold_of(df, own["config"], own["passthrough"], own["target"]))
+
+    def _engineered(self, df: DataFrame, fold: Column | None) -> DataFrame:
+        own = self.get_settings()
+        return engineer(df, own["config"], self.get_fitted(), self.tables.get("encodings"), own["target"], own["passthrough"], fold)
 
 
 def engineer(
@@ -228,8 +281,10 @@ def engineer(
     encodings: DataFrame | None,
     target: str | None = None,
     passthrough: Sequence[str] = (),
+    fold: Column | None = None,
 ) -> DataFrame:
-    """Apply row features and encodings; ``passthrough`` and target are carried along."""
+    """Apply row features and encodings; ``passthrough`` and target are carried along. Given a row's ``fold``, its target means are those of
+    the other folds."""
     if not config.get("use_feature_engineering", False):
         return df
     carried = [c for c in df.columns if c == target or c in set(passthrough)]
@@ -263,6 +318,7 @@ def engineer(
         *[(value_text(df, c) if c in text else F.col(c)).alias(c) for c in features],
         *[c.alias(n) for n, c in {**row, **late}.items()],
         amounts.alias("_amount"),
+        (fold if fold is not None else F.lit(None)).cast("int").alias("_fold"),
         *[_key_column(df, s["columns"]).alias(f"_key{i}") for i, s in enumerate(keys.values())],
     )
     encoded: dict[str, Column] = {}
@@ -272,13 +328,16 @@ def engineer(
     for i, (key, spec) in enumerate(keys.items()):
         table = encodings.where(F.col("key") == key).select(
             F.col("value").alias(f"_key{i}"),
-            F.col("frequency").alias(f"_f{i}"), F.col("target_mean").alias(f"_t{i}"), F.col("median").alias(f"_m{i}"),
+            F.col("frequency").alias(f"_f{i}"), F.col("target_mean" if fold is None else "left_out").alias(f"_t{i}"), F.col("median").alias(f"_m{i}"),
         )
         wide = wide.join(F.broadcast(table) if key in small else table, f"_key{i}", "left")
         if "frequency" in spec["uses"]:
             encoded[f"{key}_frequency"] = F.coalesce(F.col(f"_f{i}"), F.lit(0.0))
         if "target_mean" in spec["uses"]:
-            encoded[f"{key}_target_mean"] = F.coalesce(F.col(f"_t{i}"), F.lit(float(fitted["target_mean"])))
+            mean, prior = F.col(f"_t{i}"), F.lit(float(fitted["target_mean"]))
+            if fold is not None:
+                mean, prior = mean[F.col("_fold")], F.array(*[F.lit(float(p)) for p in fitted["left_out"]])[F.col("_fold")]
+            encoded[f"{key}_target_mean"] = F.coalesce(mean, prior)
         if "median" in spec["uses"]:
             median = F.coalesce(F.col(f"_m{i}"), F.lit(float(fallback)))
             grouped[f"{amount}_to_{key}_median"] = group_ratio(F.col("_amount"), median)
@@ -392,7 +451,7 @@ class NumericPrepModel(Model, _Settings, DefaultParamsReadable, DefaultParamsWri
     def _transform(self, df: DataFrame) -> DataFrame:
         own, values = self.get_settings(), numeric_outputs(df, self.get_fitted())
         vector = array_to_vector(F.array(*values.values())) if values else array_to_vector(F.array().cast("array<double>"))
-        return df.select("*", vector.alias(own["output"]))
+        return df.select("*", sized_vector(vector, len(values), own["output"]))
 
     def output_names(self) -> list[str]:
         fitted = self.get_fitted()
@@ -514,7 +573,7 @@ class CategoryEncoderModel(_TableModel):
 def one_hot(df: DataFrame, slots: Column, width: int, output: str) -> DataFrame:
     """Sparse vector with ones at the given slots (built on the JVM side)."""
     if not width:
-        return df.select("*", array_to_vector(F.array().cast("array<double>")).alias(output))
+        return df.select("*", sized_vector(array_to_vector(F.array().cast("array<double>")), 0, output))
     model = CountVectorizerModel.from_vocabulary([str(i) for i in range(width)], "_slots", output)
     marked = df.withColumn("_slots", F.transform(F.array_compact(slots), lambda x: x.cast("string")))
     return model.transform(marked).drop("_slots")
@@ -626,14 +685,13 @@ def build_preprocessing(settings: Mapping[str, Any], target: str, carried: Seque
             excluded=[*excluded, "numeric_vector"],
         )
     )
-    stages.append(VectorAssembler(inputCols=["numeric_vector", "category_vector"], outputCol="assembled"))
-    last = "assembled"
-    if s.get("use_polynomial_features", False):
-        stages.append(PolynomialExpansion(degree=int(s.get("polynomial_degree", 2)), inputCol=last, outputCol="expanded"))
-        last = "expanded"
-    if s.get("use_variance_threshold", False) or s.get("use_feature_selection", False):
+    expanded, selected = s.get("use_polynomial_features", False), s.get("use_variance_threshold", False) or s.get("use_feature_selection", False)
+    last = "assembled" if expanded or selected else output
+    stages.append(VectorAssembler(inputCols=["numeric_vector", "category_vector"], outputCol=last))
+    if expanded:
+        last = "expanded" if selected else output
+        stages.append(PolynomialExpansion(degree=int(s.get("polynomial_degree", 2)), inputCol="assembled", outputCol=last))
+    if selected:
         k = s.get("feature_selection_k") if s.get("use_feature_selection", False) else None
         stages.append(FeatureSelector(k, s.get("use_variance_threshold", False), target, last, output))
-    else:
-        stages.append(VectorAssembler(inputCols=[last], outputCol=output))
     return Pipeline(stages=stages)

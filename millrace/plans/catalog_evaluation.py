@@ -339,22 +339,12 @@ def score_model(spark, sf_dir):
     return found.select("event_id", rounded("fraud_probability", 8), "prediction", "label", rounded("confidence", 8), "decision_threshold")
 
 
-def event_scorer(df: DataFrame) -> DataFrame:
-    """A stand-in for a model: the value as a share of 500. A fitted pipeline looks at rows while it transforms, which a
-    stream does not allow."""
-    return df.withColumn("fraud_probability", F.coalesce(F.col("value"), F.lit(0.0)) / 500)
-
-
-@query(
-    "stream_scoring",
-    f"""WITH a AS ({_ALIGNED}), p AS (SELECT event_id, coalesce(value, 0) / 500 AS s FROM a)
-        SELECT event_id, round(s, 8) AS fraud_probability, CASE WHEN s >= 0.4 THEN 1 ELSE 0 END AS prediction,
-        CASE WHEN s >= 0.4 THEN 'Fraud' ELSE 'Legitimate' END AS label FROM p""",
-)
+@query("stream_scoring", _SALES + " FROM p")
 def stream_scoring(spark, sf_dir):
-    stream = jobs.stream_score(payloads(event_stream(spark, sf_dir)), MODEL_COLUMNS, event_scorer, threshold=0.4)
-    stream = stream.select("event_id", "fraud_probability", "prediction", "label")
-    found = jobs.run_to_table(stream, scratch_path(spark, "stream-scoring"))
+    """The same payloads as a stream through the same fitted model."""
+    model = event_model(spark, sf_dir)
+    stream = jobs.stream_score(payloads(event_stream(spark, sf_dir)), MODEL_COLUMNS, model)
+    found = jobs.run_to_table(stream.select("event_id", "fraud_probability", "prediction", "label"), scratch_path(spark, "stream-scoring"))
     return found.select("event_id", rounded("fraud_probability", 8), "prediction", "label")
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
+from pyspark.ml import Transformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.quality import CheckSuite, issues_frame
 from ..operators.rollups import WINDOW, windowed_means, windowed_rate
-from ..operators.scoring import align_features, decide, parse_payload
+from ..operators.scoring import align_features, parse_payload, score
 
 LATENESS = "10 minutes"
 
@@ -45,13 +46,17 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFram
 def stream_score(
     payloads: DataFrame,
     schema: Mapping[str, str],
-    scorer: Callable[[DataFrame], DataFrame],
+    model: Transformer,
     payload: str = "payload",
     threshold: float | None = None,
 ) -> DataFrame:
-    """Parse, align, score and decide; stateless, so batch and stream agree."""
+    """Parse, align, score with a fitted model and decide, at the model's own threshold unless one is given.
+
+    Stateless, so batch and stream agree. Lookup tables are joined as static tables; the model's sizes were counted when it was fitted, so
+    nothing looks at a row before the stream starts.
+    """
     parsed = payloads.withColumn("features", parse_payload(F.col(payload))).where(F.col("features").isNotNull())
-    return decide(scorer(align_features(parsed.drop(payload), schema)), "fraud_probability", threshold)
+    return score(align_features(parsed.drop(payload), schema), model, threshold)
 
 
 def stream_counts(events: DataFrame, by: Sequence[str], ts: str = "ts", lateness: str = LATENESS, size: str = WINDOW) -> DataFrame:

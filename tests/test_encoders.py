@@ -206,3 +206,50 @@ def test_fit_reads_engineered_rows_once(spark, txn, tmp_path):
     held = list(WRITTEN)
     clear_scratch(spark)
     assert held and not WRITTEN
+
+
+CROSSED = {"use_feature_engineering": True, "use_target_mean_encoding": True, "target_mean_smoothing": 2.0, "target_mean_encode_features": ["k"], "target_mean_folds": 3,
+           "use_frequency_encoding": True, "frequency_encode_features": ["k"]}
+
+
+def test_target_means_of_other_folds(spark, tmp_path):
+    """Rows learned from: the smoothed mean of their value in the other folds, or those folds' mean; other rows: that of all."""
+    rng = np.random.default_rng(8)
+    data = [(i, int(rng.integers(0, 2)), str(rng.integers(0, 25)) if i % 9 else None) for i in range(200)] + [(900, None, "3"), (901, 1, "alone")]
+    df = spark.createDataFrame(data, "id int, y int, k string")
+    model = encoders.FeatureEngineer(CROSSED, "y", ["id"]).fit(df)
+    fold = {r["id"]: r["f"] for r in df.select("id", encoders.fold_of(df, CROSSED, ["id"], "y").alias("f")).collect()}
+    assert set(fold.values()) == {0, 1, 2}
+
+    def want(i, k, others):
+        known = [(kk or "__missing__", y) for j, y, kk in data if y is not None and (not others or fold[j] != fold[i])]
+        prior, own = np.mean([y for _, y in known]), [y for kk, y in known if kk == (k or "__missing__")]
+        return (sum(own) + 2 * prior) / (len(own) + 2) if own else prior
+
+    crossed = {r["id"]: r for r in model.transform(df).collect()}  # the very frame it was fitted on
+    again = {r["id"]: r for r in model.for_training(df.select("*")).collect()}
+    plain = {r["id"]: r for r in model.transform(df).collect()}  # a second time these are rows like others
+    model.write().overwrite().save(str(tmp_path / "m"))
+    loaded = {r["id"]: r for r in encoders.FeatureEngineerModel.load(str(tmp_path / "m")).transform(df).collect()}
+    for i, _, k in data:
+        assert crossed[i] == again[i] and plain[i] == loaded[i] and crossed[i]["k_frequency"] == plain[i]["k_frequency"]
+        assert crossed[i]["k_target_mean"] == pytest.approx(want(i, k, True)) and plain[i]["k_target_mean"] == pytest.approx(want(i, k, False))
+
+
+def test_crossed_means_do_not_leak(spark):
+    """A target of chance over keys of two rows: in-sample means rank the training rows well, those of the other folds do not."""
+    from millrace.operators.evaluation import areas
+
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, int(rng.integers(0, 2)), f"k{i // 2}") for i in range(4000)], "id int, y int, k string")
+    area = {}
+    for folds in (0, 5):
+        model = encoders.FeatureEngineer({**CROSSED, "target_mean_folds": folds}, "y", ["id"]).fit(df)
+        area[folds] = areas(model.for_training(df), "y", "k_target_mean").first()["roc_auc"]
+    assert area[0] > 0.8 and area[5] < 0.55
+
+
+def test_in_sample_without_folds(three):
+    model = encoders.FeatureEngineer(CONFIG, "isFraud").fit(three)
+    assert model._seen is None and model.get_fitted()["left_out"] == [] and encoders.fold_of(three, CONFIG, [], "isFraud") is None
+    assert sorted(model.transform(three).collect(), key=repr) == sorted(model.for_training(three).collect(), key=repr)

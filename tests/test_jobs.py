@@ -175,3 +175,33 @@ def test_scratch_needs_a_shared_folder(spark, tmp_path):
     from millrace.session import scratch_path, shared_dir
 
     assert shared_dir(spark) and scratch_path(spark, "x").startswith(shared_dir(spark))
+
+
+def test_stream_scores_with_a_fitted_model(spark, txn, tmp_path):
+    """Encodings, imputation, one-hot and a forest on a stream; a second run takes up only what is new, and no row comes twice."""
+    from millrace.operators import scoring, training
+    from millrace.plans.catalog_training import KEY, SETTINGS, TARGET
+    from millrace.streaming import jobs
+
+    settings = {**SETTINGS, "use_polynomial_features": False, "use_feature_selection": False, "use_variance_threshold": False}
+    columns = {"txn_amt": "double", "card1": "double", "product_cd": "string", "card4": "string", "p_email": "string", "addr1": "double", "r_email": "string"}
+    known = txn.select(KEY, TARGET, *columns)
+    saved = str(tmp_path / "model")
+    training.refit(known, training.Trainer(settings, TARGET, KEY), "random_forest", {"n_estimators": 3, "max_depth": 4})[0].write().save(saved)
+    model = training.ThresholdModel.load(saved)
+    payload = F.to_json(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("string"))]))
+    rows = txn.select(KEY, payload.alias("payload"))
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows.where(f"{KEY} % 2 = 0").coalesce(1).write.parquet(source)
+
+    def run():
+        stream = jobs.stream_score(jobs.file_stream(spark, source, "*.parquet", rows.schema), columns, model)
+        return jobs.run_to_table(stream.select(KEY, "fraud_probability", "prediction"), out)
+
+    first = run().count()
+    rows.where(f"{KEY} % 2 = 1").coalesce(1).write.mode("append").parquet(source)
+    found = {r[KEY]: tuple(r)[1:] for r in run().collect()}
+    parsed = rows.select(KEY, scoring.parse_payload(F.col("payload")).alias("features"))
+    batch = scoring.score(scoring.align_features(parsed, columns), model).select(KEY, "fraud_probability", "prediction").collect()
+    assert 0 < first < len(batch) and run().count() == len(batch)
+    assert found == {r[KEY]: tuple(r)[1:] for r in batch} and len({p for p, _ in found.values()}) > 3
