@@ -7,8 +7,10 @@ Three building blocks serve every ordered operator of the library:
     partitioned, summed per partition, and offset by the totals before it.
 ``exact_quantiles`` quantiles of many columns of one table. A mergeable sketch
     brackets each wanted rank, then only the values inside the brackets move.
-``group_quantiles`` quantiles per group, from (group, value) counts, so a hot
-    group is spread over as many tasks as its values need.
+``group_quantiles`` quantiles per group: large groups are bracketed by a sketch
+    each, so a hot group moves only the values around its ranks.
+``cut_at``          the predicate of the first so many rows. Exact counts below
+    sampled values narrow the cut's bracket scan by scan, for any ordered type.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +29,12 @@ from ..session import materialize, materialize_counted
 TASK_ROWS = 4_000_000
 # Rank error of the bracketing sketch is n / SKETCH_ACCURACY.
 SKETCH_ACCURACY = 10_000
+# The same for the sketches of groups, of which a task may hold many.
+GROUP_ACCURACY = 1_000
+# Groups of more than TASK_ROWS rows whose brackets may be broadcast (some 100 bytes each).
+BROADCAST_GROUPS = 100_000
+# Values that cut a bracket in one scan of ``cut_at``.
+SPLITTERS = 64
 _PART = "_range_part"
 
 
@@ -94,23 +103,78 @@ def group_quantiles(
     value: str,
     probabilities: Sequence[float],
     task_rows: int = TASK_ROWS,
+    accuracy: int = GROUP_ACCURACY,
 ) -> DataFrame:
-    """Exact quantiles per group: ``keys..., n, quantiles array<double>``; NULLs ignored."""
+    """Exact quantiles per group: ``keys..., n, quantiles array<double>``; NULLs ignored.
+
+    Groups of at most ``task_rows`` rows are one aggregation. Of the larger ones a mergeable sketch per group
+    brackets each wanted rank, a second scan counts what lies below the brackets, and only values inside them move. Nothing is
+    written but the sizes of the groups, the brackets, and the counted values inside them.
+    """
     keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    counts, rows = materialize_counted(counts)
-    if rows <= task_rows:
-        wanted = ", ".join(f"{float(p)!r}D" for p in probabilities)
-        exact = F.expr(f"percentile(`{value}`, array({wanted}), n)")
-        return counts.groupBy(*keys).agg(F.sum("n").alias("n"), exact.alias("quantiles"))
-    ranked = running_totals(counts, keys, value, ["n"], task_rows=task_rows, rows=rows)
-    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("size"))
-    if keys:
-        joined = join_null_safe(ranked, sizes, keys)
-    else:
-        joined = ranked.withColumn("size", sizes.scalar())
-    picks = [_interpolated("cum_n", value, (F.col("size") - 1) * F.lit(float(p))) for p in probabilities]
-    return joined.groupBy(*keys).agg(F.max("size").alias("n"), F.array(*picks).alias("quantiles"))
+    data = df.where(F.col(value).isNotNull()).select(*keys, value)
+    sizes, _ = materialize_counted(data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    large, many = materialize_counted(sizes.where((F.col("n") > task_rows) & (F.col("n") > 0)))
+    if not many:
+        return _small_groups(data, keys, value, probabilities)
+    found = _large_groups(data, large, many, keys, value, probabilities, task_rows, accuracy)
+    if large.count() == sizes.count():
+        return found
+    bounded = F.broadcast(large.select(*keys)) if many <= BROADCAST_GROUPS else large.select(*keys)
+    return _small_groups(_null_safe(data, bounded, keys, "left_anti"), keys, value, probabilities).unionByName(found)
+
+
+def _small_groups(data: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+    found = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile(F.col(value).cast("double"), wanted).alias("quantiles"))
+    return found if keys else found.where("n > 0")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """A join in which NULL keys are equal; ``right`` keeps its keys under other names."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], F.lit(True))
+    joined = left.join(other, same, how)
+    return joined if how in ("left_anti", "left_semi") else joined.drop(*[f"_r_{k}" for k in keys])
+
+
+def _large_groups(
+    data: DataFrame, large: DataFrame, many: int, keys: Sequence[str], value: str, probabilities: Sequence[float], task_rows: int, accuracy: int
+) -> DataFrame:
+    small = many <= BROADCAST_GROUPS
+    rows = _null_safe(data.withColumn("_v", F.col(value).cast("double")), F.broadcast(large) if small else large, keys, "inner")
+    guard = 4.0 / accuracy
+    points = sorted({min(1.0, max(0.0, float(p) + d)) for p in probabilities for d in (-guard, guard)})
+    at = {x: i for i, x in enumerate(points)}
+    sketch = rows.groupBy(*keys).agg(F.max("n").alias("n"), F.percentile_approx("_v", points, accuracy).alias("_s"))
+    low = F.array(*[F.col("_s")[at[max(0.0, float(p) - guard)]] for p in probabilities])
+    high = F.array(*[F.col("_s")[at[min(1.0, float(p) + guard)]] for p in probabilities])
+    marks = materialize(sketch.select(*keys, low.alias("_low"), high.alias("_high")))
+    marked = _null_safe(rows, F.broadcast(marks) if small else marks, keys, "inner")
+    count = len(probabilities)
+    counted = marked.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.first("_low").alias("_low"), F.first("_high").alias("_high"),
+        F.array(*[F.count_if(F.col("_v") < F.col("_low")[j]) for j in range(count)]).alias("_below"),
+        F.array(*[F.count_if(F.col("_v") <= F.col("_high")[j]) for j in range(count)]).alias("_upto"),
+    )
+    position = [(F.col("n") - 1) * F.lit(float(p)) for p in probabilities]
+    # A bracket that misses its rank, which the sketch's error does not allow for, is opened on both sides.
+    hit = [(F.col("_below")[j] <= F.floor(position[j])) & (F.col("_upto")[j] > F.ceil(position[j])) for j in range(count)]
+    edges = materialize(counted.select(
+        *keys, "n",
+        F.array(*[F.when(hit[j], F.col("_low")[j]).otherwise(F.lit(float("-inf"))) for j in range(count)]).alias("_low"),
+        F.array(*[F.when(hit[j], F.col("_high")[j]).otherwise(F.lit(float("nan"))) for j in range(count)]).alias("_high"),
+        F.array(*[F.when(hit[j], F.col("_below")[j]).otherwise(F.lit(0)) for j in range(count)]).alias("_below"),
+    ))
+    near = _null_safe(rows.drop("n"), F.broadcast(edges) if small else edges, keys, "inner")
+    inside = F.filter(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: (F.col("_v") >= F.col("_low")[j]) & (F.col("_v") <= F.col("_high")[j]))
+    inner = near.select(*keys, "_v", inside.alias("_js")).where(F.size("_js") > 0).select(*keys, "_v", F.explode("_js").alias("_j"))
+    ranked = running_totals(inner.groupBy(*keys, "_j", "_v").agg(F.count(F.lit(1)).alias("_c")), [*keys, "_j"], "_v", ["_c"], task_rows=task_rows)
+    placed = _null_safe(ranked, F.broadcast(edges) if small else edges, keys, "inner") if keys else ranked.crossJoin(F.broadcast(edges))
+    target = F.element_at(F.array(*position), F.col("_j") + 1) - F.col("_below")[F.col("_j")]
+    picks = placed.withColumn("_at", target).groupBy(*keys, "_j").agg(F.max("n").alias("n"), _interpolated("cum__c", "_v", F.col("_at")).alias("_q"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("_j", "_q"))), lambda x: x["_q"])
+    return picks.groupBy(*keys).agg(F.max("n").alias("n"), ordered.alias("quantiles"))
 
 
 def exact_quantiles(
@@ -160,11 +224,11 @@ def exact_quantiles(
         *[F.count_if(F.col(c) < low).alias(f"b{k}") for k, (c, _, _, low, _) in enumerate(brackets)],
         *[F.count_if(F.col(c) <= high).alias(f"h{k}") for k, (c, _, _, _, high) in enumerate(brackets)],
     ).first()
-    for k, (c, _, position, _, _) in enumerate(brackets):
-        if not below[f"b{k}"] <= math.floor(position) or not below[f"h{k}"] > math.ceil(position):
-            raise AssertionError(f"sketch bracket of {c} misses its rank; raise the accuracy")
+    # A bracket that misses its rank, which the sketch's error does not allow for, is opened on both sides.
+    hit = [below[f"b{k}"] <= math.floor(pos) and below[f"h{k}"] > math.ceil(pos) for k, (_, _, pos, _, _) in enumerate(brackets)]
+    skipped = [below[f"b{k}"] if hit[k] else 0 for k in range(len(brackets))]
     # Most rows lie in no bracket and are dropped by the compiled filter.
-    within = [F.col(c).between(low, high) for c, _, _, low, high in brackets]
+    within = [F.col(c).between(low, high) if hit[k] else F.col(c).isNotNull() for k, (c, _, _, low, high) in enumerate(brackets)]
     hits = [
         F.when(within[k], F.struct(F.lit(k).alias("k"), F.col(c).alias("v"))) for k, (c, *_) in enumerate(brackets)
     ]
@@ -174,7 +238,7 @@ def exact_quantiles(
         inside.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")), ["k"], "v", ["n"], task_rows=task_rows
     )
     position = F.element_at(
-        F.array(*[F.lit(pos - below[f"b{k}"]) for k, (_, _, pos, _, _) in enumerate(brackets)]), F.col("k") + 1
+        F.array(*[F.lit(pos - skipped[k]) for k, (_, _, pos, _, _) in enumerate(brackets)]), F.col("k") + 1
     )
     picked = ranked.groupBy("k").agg(_interpolated("cum_n", "v", position).alias("q")).collect()
     out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
@@ -185,30 +249,61 @@ def exact_quantiles(
 
 
 def cut_at(df: DataFrame, columns: Sequence[str], rank: int, task_rows: int = TASK_ROWS) -> Column:
-    """Predicate true for the first ``rank`` rows in the order of ``columns``.
+    """Predicate true for the first ``rank`` rows in the order of ``columns`` (numbers, text or timestamps; NULLs last).
 
-    Works one column at a time: values are counted, the value where the running
-    count passes ``rank`` is found, and only its ties go on to the next column.
-    Rows equal in every column stay on one side.
+    Works one column at a time: the value at the rank is found, and only its ties go on to the next column. Rows equal in every column stay on one
+    side. Each scan counts exactly how many rows lie below, at and between some sampled values and keeps the interval with the
+    rank; an interval of at most ``task_rows`` rows is counted value by value, so nothing larger is ever sorted or moved.
     """
     level, left = df.select(*columns), int(rank)
     taken, tie = F.lit(False), F.lit(True)
     if left <= 0:
         return F.lit(False)
     for name in columns:
-        counts = level.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
-        ranked = running_totals(counts, [], name, ["n"], task_rows=task_rows)
-        hit = ranked.where(F.col("cum_n") >= left).agg(F.min(F.struct("cum_n", name, "n")).alias("hit")).first()["hit"]
-        if hit is None:
-            return F.lit(True)
-        if hit[name] is None:  # NULLs come last
+        present, rows = level.agg(F.count(name), F.count(F.lit(1))).first()
+        if left > rows:
+            return taken | tie
+        if left > present:  # the cut lies among the NULLs, which come last
+            value, below, ties = None, present, rows - present
+        else:
+            value, below, ties = _value_at(level.where(F.col(name).isNotNull()).select(name), name, left, present, task_rows)
+        if value is None:
             before, same = F.col(name).isNotNull(), F.col(name).isNull()
         else:
-            bound = F.lit(hit[name])
+            bound = F.lit(value)
             before, same = F.coalesce(F.col(name) < bound, F.lit(False)), F.col(name).eqNullSafe(bound)
         taken, tie = taken | (tie & before), tie & same
-        left -= hit["cum_n"] - hit["n"]
-        if left >= hit["n"]:
+        left -= below
+        if left >= ties:
             return taken | tie
         level = level.where(same)
     return taken | tie
+
+
+def _value_at(data: DataFrame, name: str, rank: int, rows: int, task_rows: int) -> tuple[Any, int, int]:
+    """(value at a rank from 1, rows below it, rows equal to it) of a column without NULLs."""
+    column, below, inside, turn = F.col(name), 0, data, 0
+    while rows > max(task_rows, 1):
+        turn += 1
+        drawn = {r[0] for r in inside.orderBy(F.rand(turn)).limit(16 * SPLITTERS).collect()}
+        usable = sorted(v for v in drawn if v == v) or list(drawn)[:1]  # NaN comes last of all, and alone
+        cuts = usable[:: -(-len(usable) // SPLITTERS)]
+        listed = F.array(*[F.lit(v) for v in cuts])
+        # 2k: above the first k values and below the next; 2k + 1: equal to the one after the first k
+        place = F.size(F.filter(listed, lambda v: v < column)) + F.size(F.filter(listed, lambda v: v <= column))
+        counts = {r["place"]: r["n"] for r in inside.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        at = below
+        for spot in sorted(counts):
+            if at + counts[spot] >= rank:
+                break
+            at += counts[spot]
+        if spot % 2:
+            return cuts[spot // 2], at, counts[spot]
+        bounds = [column > F.lit(cuts[spot // 2 - 1])] if spot else []
+        bounds += [column < F.lit(cuts[spot // 2])] if spot // 2 < len(cuts) else []
+        inside = reduce(lambda frame, bound: frame.where(bound), bounds, inside)
+        below, rows = at, counts[spot]
+    counts = materialize(inside.groupBy(column.alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    ranked = running_totals(counts, [], "_v", ["_n"], rows=rows, task_rows=max(task_rows, rows))
+    hit = ranked.where(F.col("cum__n") >= rank - below).agg(F.min(F.struct("cum__n", "_v", "_n")).alias("hit")).first()["hit"]
+    return hit["_v"], below + hit["cum__n"] - hit["_n"], hit["_n"]

@@ -482,7 +482,7 @@ def slice_performance(spark, sf_dir):
 
 
 MONITORING = {
-    "sample_size": None,  # all rows, as in the SQL
+    "sample_size": None,  # all rows
     "drifted_numeric_columns": ["txn_amt", "txn_dt", "card1"],
     "drifted_categorical_columns": ["product_cd", "p_email", "card4"],
     "numeric_multiply": {"txn_amt": 4.0},
@@ -508,12 +508,18 @@ def _two_table_scores(report, now):
     return " UNION ALL ".join(numeric + texts)
 
 
-# Any two random halves lead to the same verdict, so the SQL draws its own.
+def _drawn(text):
+    """A number below 2**32 from the md5 of a text, alike in both engines."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+# Both engines cut the halves, and pick the rows that drift, by the md5 of the id.
 _MONITORING_SQL = f"""
-, early AS (SELECT * FROM txn WHERE hash(txn_id) % 2 = 0), clean AS (SELECT * FROM txn WHERE hash(txn_id) % 2 = 1),
+, early AS (SELECT * FROM txn WHERE CAST('0x' || substr(md5(CAST(txn_id AS VARCHAR)), 1, 8) AS BIGINT) % 2 = 0),
+clean AS (SELECT * FROM txn WHERE CAST('0x' || substr(md5(CAST(txn_id AS VARCHAR)), 1, 8) AS BIGINT) % 2 = 1),
 moved AS (SELECT txn_amt * 4 AS txn_amt, txn_dt + 1209600 AS txn_dt, card1 + 5000 AS card1, card6, is_fraud,
     CASE WHEN hit THEN '1' ELSE product_cd END AS product_cd, CASE WHEN hit THEN 'drifted.example.com' ELSE p_email END AS p_email,
-    CASE WHEN hit THEN 'BUILDING' ELSE card4 END AS card4 FROM (SELECT *, hash(txn_id + 1000003) % 4 < 3 AS hit FROM clean)),
+    CASE WHEN hit THEN 'BUILDING' ELSE card4 END AS card4 FROM (SELECT *, CAST('0x' || substr(md5(txn_id || ':drift'), 1, 8) AS BIGINT) % 4 < 3 AS hit FROM clean)),
 s AS ({_two_table_scores("baseline", "clean")} UNION ALL {_two_table_scores("drift", "moved")})
 SELECT report, count(*) AS number_of_columns, count(*) FILTER (WHERE score >= 0.1) AS number_of_drifted_columns,
     round(count(*) FILTER (WHERE score >= 0.1) / count(*), 6) AS share_of_drifted_columns, count(*) FILTER (WHERE score >= 0.1) / count(*) >= 0.5 AS dataset_drift,
@@ -526,6 +532,8 @@ def monitoring_run(spark, sf_dir):
     found = run_monitoring(
         transactions(spark, sf_dir), "txn_id", "is_fraud", MONITORING, ["txn_amt", "txn_dt", "card1"],
         ["product_cd", "card4", "card6", "p_email"],
+        in_reference=_drawn(F.col("txn_id").cast("string")) % 2 == 0,
+        drifted_rows=_drawn(F.concat(F.col("txn_id").cast("string"), F.lit(":drift"))) % 4 < 3,
     )
     listed = F.concat_ws(",", "drifted_features.feature").alias("drifted")
     return found.summary.select(

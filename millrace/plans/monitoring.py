@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.ml import Transformer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.drift import (
@@ -66,12 +66,14 @@ def moves(settings: Mapping[str, Any]) -> tuple[dict[str, float], dict[str, floa
     return factors, shifts
 
 
-def inject_drift(df: DataFrame, key: str, settings: Mapping[str, Any], seed: int, numeric: list[str], categorical: list[str]) -> DataFrame:
+def inject_drift(
+    df: DataFrame, key: str, settings: Mapping[str, Any], seed: int, numeric: list[str], categorical: list[str], hit: Column | None = None
+) -> DataFrame:
     factors, shifts = moves(settings)
     moved = inject_numeric(df, settings.get("drifted_numeric_columns") or numeric, factors, shifts)
     return inject_categorical(
         moved, settings.get("drifted_categorical_columns") or categorical, key,
-        float(settings.get("categorical_drift_fraction", 0.75)), settings.get("categorical_replacements"), seed,
+        float(settings.get("categorical_drift_fraction", 0.75)), settings.get("categorical_replacements"), seed, hit,
     )
 
 
@@ -83,14 +85,24 @@ def run_monitoring(
     numeric: list[str],
     categorical: list[str],
     model: Transformer | None = None,
+    in_reference: Column | None = None,
+    drifted_rows: Column | None = None,
 ) -> MonitoringResult:
-    """Compare a reference slice with a clean and with a drifted current slice."""
+    """Compare a reference slice with a clean and with a drifted current slice.
+
+    Slices are drawn by the key, ``sample_size`` rows each (null: all rows). A caller may give the rule instead: ``in_reference`` deals every
+    row to one of the two (null: neither), and ``drifted_rows`` says which rows of the drifted one get replaced categories.
+    """
     seed = int(settings.get("random_state", 42))
-    size = settings.get("sample_size", 5000)  # null: all rows
-    sliced = materialize(monitoring_slices(df, key, int(size) if size is not None else -(-df.count() // 2), seed))
+    size = settings.get("sample_size", 5000)
+    if in_reference is not None:
+        dealt = df.withColumn("slice", F.when(in_reference, "reference").when(~in_reference, "current")).where("slice IS NOT NULL")
+    else:
+        dealt = monitoring_slices(df, key, int(size) if size is not None else -(-df.count() // 2), seed)
+    sliced = materialize(dealt)
     reference = sliced.where("slice = 'reference'").drop("slice")
     clean = sliced.where("slice = 'current'").drop("slice")
-    drifted = inject_drift(clean, key, settings, seed, numeric, categorical)
+    drifted = inject_drift(clean, key, settings, seed, numeric, categorical, drifted_rows)
     slices = {"reference": reference, "clean_current": clean, "drifted_current": drifted}
     if model is not None:
         # Each slice has a bounded number of rows, so keeping its predictions is cheap.

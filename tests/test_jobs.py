@@ -132,16 +132,25 @@ def test_monitoring_run(spark, txn):
 
 def test_monitoring_query_takes_all_rows(spark, txn, monkeypatch):
     """Both halves together hold every row, however long the table (10,000 rows were the most before)."""
-    from millrace.plans import catalog_quality, monitoring
+    from millrace.plans import catalog_quality
 
-    sliced = []
-    cut = monitoring.monitoring_slices
-    monkeypatch.setattr(monitoring, "monitoring_slices", lambda df, *a: sliced.append((df.count(), out := cut(df, *a))) or out)
+    found = []
+    run = catalog_quality.run_monitoring
+    monkeypatch.setattr(catalog_quality, "run_monitoring", lambda *a, **how: found.append(run(*a, **how)) or found[-1])
     monkeypatch.setattr(catalog_quality, "transactions", lambda spark, sf_dir: long)
     long = txn.crossJoin(spark.range(-(-10_500 // txn.count())).withColumnRenamed("id", "_n")).withColumn("txn_id", F.col("txn_id") * 1000 + F.col("_n")).drop("_n")
     catalog_quality.monitoring_run(spark, None)
-    (rows, found), = sliced
-    assert rows > 10_000 and found.count() == rows
+    sizes = {r["slice"]: r["count"] for r in found[0].quality.where("column = 'txn_dt'").collect()}
+    assert sizes["reference"] + sizes["clean_current"] == long.where("txn_dt IS NOT NULL").count() > 10_000
+
+
+def test_monitoring_by_a_callers_rule(spark, txn):
+    half, rows = F.col("txn_id") % 3 == 0, txn.where("txn_dt IS NOT NULL")
+    found = run_monitoring(rows, "txn_id", "is_fraud", MONITORING, ["txn_dt"], ["product_cd"], in_reference=half, drifted_rows=F.col("txn_id") % 2 == 0)
+    sizes = {r["slice"]: r["count"] for r in found.quality.collect()}
+    assert sizes == {"reference": rows.where(half).count(), "clean_current": rows.where(~half).count(), "drifted_current": rows.where(~half).count()}
+    moved = found.categories.where("slice = 'drifted_current' AND column = 'product_cd' AND value = '1'").first()
+    assert moved["share"] > 0.4
 
 
 def test_monitoring_with_a_model(spark, txn):

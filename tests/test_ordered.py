@@ -54,6 +54,38 @@ def test_group_quantiles(skewed, task_rows):
         assert np.allclose(row["quantiles"], np.quantile(part["v"], PROBS))
 
 
+def test_group_quantiles_on_both_sides_of_the_bound(spark, monkeypatch):
+    """Large groups by brackets, small ones directly; only the values around the ranks are written."""
+    from millrace.operators import ordered
+
+    rng = np.random.default_rng(2)
+    rows = [("hot", float(v)) for v in rng.normal(size=20_000)] + [(None, float(v)) for v in rng.integers(0, 50, 9_000)]
+    rows += [(f"k{i % 300}", float(v)) for i, v in enumerate(rng.random(3_000))] + [("hot", None)] * 50
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    written = []
+    count = ordered.materialize_counted
+    monkeypatch.setattr(ordered, "materialize_counted", lambda d: written.append(out := count(d)) or out)
+    found = {r["k"]: r for r in group_quantiles(df, ["k"], "v", [0.1, 0.5, 0.9], task_rows=5_000).collect()}
+    data = df.toPandas().dropna(subset=["v"])
+    for key, part in data.groupby("k", dropna=False):
+        row = found[None if key != key or key is None else key]
+        assert row["n"] == len(part) and np.allclose(row["quantiles"], np.quantile(part["v"], [0.1, 0.5, 0.9]), rtol=1e-12)
+    assert len(found) == 302 and max(n for _, n in written) < 5_000
+
+
+def test_a_missed_bracket_is_opened(skewed, monkeypatch):
+    """A sketch that says the same value for every rank."""
+    from millrace.operators import ordered
+
+    wrong = lambda c, points, accuracy: F.array(*[F.first(c)] * len(points))
+    monkeypatch.setattr(ordered.F, "percentile_approx", wrong)
+    data = pdf(skewed)
+    assert np.allclose(exact_quantiles(skewed, ["v"], PROBS, task_rows=0)["v"], np.quantile(data["v"].dropna(), PROBS))
+    for r in group_quantiles(skewed, ["k"], "v", [0.25, 0.5], task_rows=0).collect():
+        part = data[data["k"].isna() if r["k"] is None else data["k"] == r["k"]]["v"].dropna()
+        assert np.allclose(r["quantiles"], np.quantile(part, [0.25, 0.5]))
+
+
 def test_keyless_group_quantiles(skewed):
     for task_rows in (10**6, 0):
         row = group_quantiles(skewed, [], "v", [0.5], task_rows).first()
@@ -93,6 +125,24 @@ def test_cut_at_takes_exactly_the_first_rows(skewed, rank):
     assert set(pdf(early)["id"]) == set(order)
 
 
+@pytest.mark.parametrize("column", ["n", "t", "ts", "x"])
+@pytest.mark.parametrize("rank", [1, 40, 1234, 2999, 3600, 3990, 4000])
+def test_cut_at_narrows_brackets_of_any_type(spark, monkeypatch, column, rank):
+    """Numbers, text, timestamps and doubles with NaN, a third of the rows one value and some NULL; nothing above the bound is sorted."""
+    from millrace.operators import ordered
+
+    rows = spark.range(4000).withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1500)))
+    n = F.when(F.col("id") % 3 == 0, F.lit(700)).when(F.col("id") % 10 != 1, F.col("h"))
+    rows = rows.select("id", n.cast("int").alias("n"), F.concat(F.lit("ü"), n.cast("string")).alias("t"), F.timestamp_seconds(n * 60).alias("ts"), F.when(F.col("h") % 50 == 1, F.lit(float("nan"))).otherwise(n / 7).alias("x")).repartition(4).cache()
+    summed = []
+    totals = ordered.running_totals
+    monkeypatch.setattr(ordered, "running_totals", lambda d, *a, **how: summed.append(d.count()) or totals(d, *a, **how))
+    first = rows.where(cut_at(rows, [column, "id"], rank, task_rows=200))
+    order = rows.orderBy(F.col(column).asc_nulls_last(), "id").limit(rank)
+    assert sorted(r["id"] for r in first.collect()) == sorted(r["id"] for r in order.collect())
+    assert max(summed, default=0) <= 200
+
+
 def test_running_totals_have_a_partition_for_every_task_rows(spark):
     df = spark.range(5000).select(F.col("id").alias("x"), F.lit(1).alias("n"))
     summed = running_totals(df, [], "x", ["n"], task_rows=250)
