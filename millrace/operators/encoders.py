@@ -582,8 +582,18 @@ def one_hot(df: DataFrame, slots: Column, width: int, output: str) -> DataFrame:
 # -- selection ----------------------------------------------------------------------------
 
 
+# Classes whose moments the driver may hold: a vector of the width of the features each.
+MAX_CLASSES = 1_000
+
+
+def _check_classes(df: DataFrame, target: str) -> None:
+    if df.select(target).distinct().limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+        raise ValueError(f"column {target!r} has more than {MAX_CLASSES} values: not a class for an analysis of variance")
+
+
 def class_moments(df: DataFrame, vector: str, target: str) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(rows, mean, variance) of a vector column per class: one aggregation."""
+    """(rows, mean, variance) of a vector column per class: one aggregation. Raises on a target that is no class."""
+    _check_classes(df, target)
     found = df.groupBy(target).agg(
         Summarizer.metrics("count", "mean", "variance").summary(F.col(vector)).alias("s")
     ).select("s.count", "s.mean", "s.variance").collect()
@@ -604,7 +614,8 @@ def anova_f(moments: Sequence[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.n
 
 
 def anova_scores(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
-    """``column, f_score`` of plain numeric columns, from per-class sums."""
+    """``column, f_score`` of plain numeric columns, from per-class sums. Raises on a target that is no class."""
+    _check_classes(df, target)
     data = df.select(F.col(target).alias("_y"), *[to_number(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
     per_class = data.groupBy("_y").agg(
         *[f(f"x{i}").alias(f"{k}{i}") for i in range(len(columns))

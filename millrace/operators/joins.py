@@ -7,14 +7,14 @@ so copes even with rows that are equal in every column.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import value_text
-from ..session import materialize
+from ..session import materialize, materialize_counted
 
 # A broadcast side holds at most this many rows and bytes of key text.
 BROADCAST_ROWS = 1_000_000
@@ -115,8 +115,31 @@ def category_sets(reference: DataFrame, current: DataFrame, column: str, keep: i
     )
 
 
+# Keys of more columns than this are looked for by fingerprints first.
+NARROW_KEY = 4
+
+
+def fingerprint(columns: Sequence[Column]) -> list[Column]:
+    """128 bits of some columns as two longs. NULLs count as such, wherever they stand."""
+    given = [part for c in columns for part in (c, c.isNull())]
+    return [F.xxhash64(F.lit(seed), *given) for seed in (0x5EED, 0x1DEA)]
+
+
+def possible_duplicates(df: DataFrame, keys: Sequence[str], prints: Callable[[Sequence[Column]], list[Column]] = fingerprint) -> tuple[DataFrame, int]:
+    """(rows whose fingerprint over the keys occurs more than once, number of all rows). Only fingerprints are counted, 16 bytes a row
+    combined before the shuffle; equal rows always are among those returned, and the few others that share a fingerprint by chance."""
+    marked = df.select("*", *[c.alias(f"_print{i}") for i, c in enumerate(prints([F.col(f"`{k}`") for k in keys]))])
+    names = [c for c in marked.columns if c not in df.columns]
+    counted = materialize(marked.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")))
+    repeated, many = materialize_counted(counted.where("_n > 1").select(*names))
+    found = marked.join(sized(repeated, many, 16 * many), names, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    return found, counted.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+
+
 def count_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys held by more than one row, with their counts (map-side combined)."""
+    if len(keys) > NARROW_KEY:
+        df, _ = possible_duplicates(df, keys)
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
@@ -124,9 +147,11 @@ def duplicate_members(df: DataFrame, keys: list[str]) -> DataFrame:
     """Every row whose key occurs more than once; NULL keys are equal to each other.
 
     Counts are combined before the shuffle and joined back, so no task has to
-    buffer all copies of one key.
+    buffer all copies of one key. Of wide keys, only rows with a repeated fingerprint are counted and joined.
     """
-    repeated = count_duplicates(df, keys).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    if len(keys) > NARROW_KEY:
+        df, _ = possible_duplicates(df, keys)
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(*[F.col(k).alias(f"_{k}") for k in keys])
     condition = F.lit(True)
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(f"_{k}"))

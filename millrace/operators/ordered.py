@@ -248,6 +248,77 @@ def exact_quantiles(
     return out
 
 
+def column_statistics(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], accuracy: int = GROUP_ACCURACY, task_rows: int = TASK_ROWS
+) -> dict[str, dict[str, Any]]:
+    """``n, mean, std, min, max`` and exact ``quantiles`` of any number of numeric columns, in two scans.
+
+    The first scan holds the moments and a mergeable sketch of every column in one aggregation of (column, value) pairs. The second counts
+    pairs by where they lie: between two brackets together, inside a bracket value by value. NULLs are ignored.
+    """
+    columns = list(columns)
+    if not columns:
+        return {}
+    pairs = df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("_c", "_v")).where(F.col("_v").isNotNull())
+    guard = 4.0 / accuracy
+    points = sorted({min(1.0, max(0.0, float(p) + d)) for p in probabilities for d in (-guard, guard)})
+    first = pairs.groupBy("_c").agg(
+        F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max"),
+        F.percentile_approx("_v", points, accuracy).alias("s"),
+    ).collect()
+    out: dict[str, dict[str, Any]] = {c: {"n": 0, "mean": None, "std": None, "min": None, "max": None, "quantiles": [None] * len(probabilities)} for c in columns}
+    spans: dict[int, list[list[float]]] = {}
+    for r in first:
+        out[columns[r["_c"]]].update({k: r[k] for k in ("n", "mean", "std", "min", "max")})
+        ranges = sorted((r["s"][points.index(max(0.0, float(p) - guard))], r["s"][points.index(min(1.0, float(p) + guard))]) for p in probabilities)
+        merged: list[list[float]] = []
+        for low, high in ranges:
+            if merged and low <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], high)
+            else:
+                merged.append([low, high])
+        spans[r["_c"]] = merged
+    if not spans:
+        return out
+    for r in _ranked_values(pairs, spans, {r["_c"]: r["n"] for r in first}, probabilities, task_rows):
+        out[columns[r["_c"]]]["quantiles"][r["_j"]] = r["_q"]
+    return out
+
+
+def _ranked_values(pairs: DataFrame, spans: Mapping[int, list[list[float]]], sizes: Mapping[int, int], probabilities: Sequence[float], task_rows: int) -> list[Any]:
+    """(_c, _j, _q): the quantile of every column and probability, from counts around and inside the spans."""
+    spark = pairs.sparkSession
+    table = spark.createDataFrame([(c, [x for x, _ in s], [y for _, y in s]) for c, s in spans.items()], "_c int, _lows array<double>, _highs array<double>")
+    passed = F.size(F.filter("_lows", lambda x: x <= F.col("_v")))
+    inside = (F.col("_s") > 0) & (F.col("_v") <= F.try_element_at("_highs", F.col("_s")))
+    placed = pairs.join(F.broadcast(table), "_c").withColumn("_s", passed).select("_c", "_s", F.when(inside, F.col("_v")).alias("_v"))
+    counted = materialize(placed.groupBy("_c", "_s", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    spread: dict[int, dict[int, list[int]]] = {}  # column: span: rows inside it, rows between it and the next
+    for r in counted.groupBy("_c", "_s").agg(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))).alias("i"), F.sum(F.when(F.col("_v").isNull(), F.col("_n"))).alias("o")).collect():
+        spread.setdefault(r["_c"], {})[r["_s"]] = [r["i"] or 0, r["o"] or 0]
+    wanted, missed = [], {}
+    for c, found in spread.items():
+        for j, p in enumerate(probabilities):
+            position, before = (sizes[c] - 1) * float(p), found.get(0, [0, 0])[1]
+            for span in range(1, len(spans[c]) + 1):
+                here, after = found.get(span, [0, 0])
+                if before <= math.floor(position) and math.ceil(position) < before + here:
+                    wanted.append((c, j, span, position - before))
+                    break
+                before += here + after
+            else:  # the sketch was off: all of the column is one span
+                missed[c] = [[float("-inf"), float("inf")]]
+    wanted = [w for w in wanted if w[0] not in missed]
+    out = []
+    if wanted:
+        ranked = running_totals(counted.where(F.col("_v").isNotNull()), ["_c", "_s"], "_v", ["_n"], task_rows=task_rows)
+        asked = spark.createDataFrame(wanted, "_c int, _j int, _s int, _at double")
+        out += ranked.join(F.broadcast(asked), ["_c", "_s"]).groupBy("_c", "_j").agg(_interpolated("cum__n", "_v", F.col("_at")).alias("_q")).collect()
+    if missed:
+        out += _ranked_values(pairs.where(F.col("_c").isin(list(missed))), missed, sizes, probabilities, task_rows)
+    return out
+
+
 def cut_at(df: DataFrame, columns: Sequence[str], rank: int, task_rows: int = TASK_ROWS) -> Column:
     """Predicate true for the first ``rank`` rows in the order of ``columns`` (numbers, text or timestamps; NULLs last).
 

@@ -6,11 +6,12 @@ columns and turned into tidy rows, never as one job per column.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
-from itertools import combinations
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions.expr import MISSING, finite, is_missing, numeric_columns, text_columns, to_number, value_text
 from ..session import materialize
 from .joins import category_shares
-from .ordered import exact_quantiles, group_quantiles
+from .ordered import column_statistics, exact_quantiles, group_quantiles
 
 AGGREGATE_CHUNK = 100
 PROFILE_QUANTILES = (0.01, 0.05, 0.5, 0.95, 0.99)
@@ -89,7 +90,7 @@ def group_median(df: DataFrame, group: str, column: str) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, missing fraction, moments, extremes and quantiles per numeric column.
+    """Count, missing fraction, moments, extremes and quantiles per numeric column, in two scans for any number of columns.
 
     Infinite values are left out of the statistics but are not missing.
     """
@@ -97,34 +98,15 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     spark = df.sparkSession
     clean = df.select(
         *[finite(to_number(df, c)).alias(f"x{i}") for i, c in enumerate(columns)],
-        *[to_number(df, c).isNull().cast("int").alias(f"m{i}") for i, c in enumerate(columns)],
+        *[to_number(df, c).isNull().cast("double").alias(f"m{i}") for i, c in enumerate(columns)],
     )
+    # A missing flag is one more column of the same two scans; its mean is the missing fraction.
+    found = column_statistics(clean, clean.columns, PROFILE_QUANTILES)
     rows = []
-    for part in chunks(list(enumerate(columns)), AGGREGATE_CHUNK // 4):
-        stats = clean.agg(
-            F.count(F.lit(1)).alias("rows"),
-            *[
-                f(F.col(f"x{i}")).alias(f"{name}{i}")
-                for i, _ in part
-                for name, f in (("n", F.count), ("avg", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))
-            ],
-            *[F.sum(f"m{i}").alias(f"miss{i}") for i, _ in part],
-        ).first()
-        quantiles = exact_quantiles(
-            clean, [f"x{i}" for i, _ in part], PROFILE_QUANTILES, sizes={f"x{i}": stats[f"n{i}"] for i, _ in part}
-        )
-        for i, c in part:
-            has = stats[f"n{i}"] > 0
-            keep = lambda v: round(float(v), 8) if has and v is not None else None  # noqa: B023, E731
-            rows.append(
-                (
-                    c,
-                    stats[f"n{i}"],
-                    round((stats[f"miss{i}"] or 0) / stats["rows"], 6) if stats["rows"] else 0.0,
-                    *[keep(stats[f"{k}{i}"]) for k in ("avg", "std", "min", "max")],
-                    *[keep(q) for q in quantiles[f"x{i}"]],
-                )
-            )
+    for i, c in enumerate(columns):
+        stats = found[f"x{i}"]
+        keep = lambda v: round(float(v), 8) if v is not None else None
+        rows.append((c, stats["n"], round(found[f"m{i}"]["mean"] or 0.0, 6), *[keep(stats[k]) for k in ("mean", "std", "min", "max")], *[keep(q) for q in stats["quantiles"]]))
     return spark.createDataFrame(
         rows,
         "column string, count bigint, missing_fraction double, mean double, std double, min double, max double, "
@@ -227,21 +209,63 @@ def skewness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of every pair of columns, each over its complete rows."""
+    """``left, right, corr``: Pearson correlation of every pair of columns, each over its complete rows, in one scan.
+
+    A task holds, for all pairs at once, the rows that have both values, their means, squared deviations and products, and merges batch by
+    batch; what tasks send is merged by column. NULL where a pair has fewer than two complete rows or a column does not vary in them.
+    """
     columns = list(columns or numeric_columns(df))
-    data = df.select(*[to_number(df, c).alias(c) for c in columns])
-    parts = []
-    for part in chunks(list(combinations(columns, 2))):
-        both = [(a, b, F.col(a).isNotNull() & F.col(b).isNotNull()) for a, b in part]
-        row = data.agg(*[F.corr(F.when(ok, F.col(a)), F.when(ok, F.col(b))).alias(f"c{i}") for i, (a, b, ok) in enumerate(both)])
-        tidy = F.array(
-            *[
-                F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"c{i}").alias("corr"))
-                for i, (a, b, _) in enumerate(both)
-            ]
-        )
-        parts.append(row.select(F.explode(tidy).alias("t")).select("t.*"))
-    return union_all(parts)
+    size = len(columns)
+    data = df.select(*[to_number(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    fields = "n array<double>, m array<double>, m2 array<double>, s array<double>, s2 array<double>, c array<double>"
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = None
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                state = merged(state, pair_moments(batch.iloc[at : at + 4096].to_numpy(float)))
+        if state is not None:
+            n, m, s, c = state
+            yield pd.DataFrame({"i": range(size), "n": list(n), "m": list(m), "m2": list(m.T), "s": list(s), "s2": list(s.T), "c": list(c)})
+
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        state = None
+        for _, r in rows.iterrows():
+            part = [np.stack([r["n"], r["n"]]), np.stack([r["m"], r["m2"]]), np.stack([r["s"], r["s2"]]), np.stack([r["c"], r["c"]])]
+            state = merged(state, part, lambda d: d[::-1])
+        i = int(rows["i"].iloc[0])
+        n, (own, other), c = state[0][0], state[2], state[3][0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            corr = np.where((n > 1) & (own > 0) & (other > 0), c / np.sqrt(own * other), np.nan)
+        others = columns[i + 1 :]
+        return pd.DataFrame({"left": pd.Series([columns[i]] * len(others), dtype=object), "right": pd.Series(others, dtype=object), "corr": corr[i + 1 :]})
+
+    found = data.mapInPandas(gather, f"i int, {fields}").groupBy("i").applyInPandas(finish, "left string, right string, corr double")
+    return found.withColumn("corr", F.nanvl("corr", F.lit(None).cast("double")))
+
+
+def pair_moments(x: np.ndarray) -> list[np.ndarray]:
+    """Of every pair (i, j) over the rows with both: their number, the mean and squared deviations of i, and the co-moment."""
+    here = np.isfinite(x)
+    one = here.astype(float)
+    shift = np.where(here.any(axis=0), np.where(here, x, 0).sum(axis=0) / np.maximum(one.sum(axis=0), 1), 0)
+    x = np.where(here, x - shift, 0)
+    n, total = one.T @ one, x.T @ one
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = np.where(n > 0, total / n, 0)
+    return [n, mean + shift[:, None], (x**2).T @ one - n * mean**2, x.T @ x - n * mean * mean.T]
+
+
+def merged(a: list[np.ndarray] | None, b: list[np.ndarray], turned: Callable[[np.ndarray], np.ndarray] = np.transpose) -> list[np.ndarray]:
+    """The moments of two sets of rows together; ``turned`` gives (j, i) in the place of (i, j)."""
+    if a is None:
+        return b
+    n = a[0] + b[0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = np.where(n > 0, b[0] / n, 0)
+    apart = np.where((a[0] > 0) & (b[0] > 0), b[1] - a[1], 0)
+    mean = np.where(a[0] > 0, a[1] + apart * share, b[1])
+    return [n, mean, a[2] + b[2] + apart**2 * a[0] * share, a[3] + b[3] + apart * turned(apart) * a[0] * share]
 
 
 def histogram(df: DataFrame, column: str, bins: int = 100) -> DataFrame:

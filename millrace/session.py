@@ -96,11 +96,14 @@ class Scratch:
         self._paths[id(saved)] = (saved, WRITTEN[-1])
         return saved
 
-    def free(self, *frames: DataFrame) -> None:
-        """Remove the tables, and let Spark's cleaner drop the shuffle files that led to later ones."""
+    def free(self, *frames: DataFrame, shuffles: bool = True) -> None:
+        """Remove the tables, and let Spark's cleaner drop the shuffle files that led to later ones (which takes a second, and can be left
+        to a later call where they are small)."""
         for frame in frames:
             _, path = self._paths.pop(id(frame))
             remove_path(self.spark, path)
+        if not shuffles:
+            return
         for _ in range(2):  # the first pass lets go of the plans, the second of the shuffles they held
             gc.collect()
             self.spark._jvm.System.gc()

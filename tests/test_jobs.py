@@ -214,3 +214,17 @@ def test_stream_scores_with_a_fitted_model(spark, txn, tmp_path):
     batch = scoring.score(scoring.align_features(parsed, columns), model).select(KEY, "fraud_probability", "prediction").collect()
     assert 0 < first < len(batch) and run().count() == len(batch)
     assert found == {r[KEY]: tuple(r)[1:] for r in batch} and len({p for p, _ in found.values()}) > 3
+
+
+def test_validation_settings_are_required(spark, tmp_path):
+    from millrace.config import SAMPLE_VALIDATION, ConfigError
+
+    for name in ("dataset_name", "input_data_path", "target_column"):
+        for bad in (None, " "):
+            settings = {**SAMPLE_VALIDATION, "validation": {**SAMPLE_VALIDATION["validation"], name: bad}}
+            with pytest.raises(ConfigError, match=name):
+                run_validation(spark, settings)
+    with pytest.raises(ConfigError, match="dataset_name, input_data_path, target_column"):
+        run_validation(spark, {})
+    with pytest.raises(tables.TableNotFound):  # the path may be an argument
+        run_validation(spark, {**SAMPLE_VALIDATION, "validation": {**SAMPLE_VALIDATION["validation"], "input_data_path": None}}, str(tmp_path / "none.csv"))

@@ -1,13 +1,19 @@
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.config import SAMPLE_PARAMS, SAMPLE_VALIDATION, ConfigError, load_config
 from millrace.operators import contract, quality
 from millrace.operators.profile import (
-    column_types, configured_columns, feature_projection, numeric_profile, overview, value_shares,
+    column_types, configured_columns, correlations, feature_projection, numeric_profile, overview, value_shares,
 )
+from millrace.operators.quality import duplicate_summary
+from millrace.session import materialize
 
 # Amounts and product codes of a small clean sample with a known profile.
 AMOUNTS = [
@@ -186,3 +192,98 @@ def test_config(tmp_path):
     copy = load_config(SAMPLE_PARAMS)
     copy["data"]["test_size"] = 0.5
     assert SAMPLE_PARAMS["data"]["test_size"] == 0.2
+
+
+def counted_rows(spark, df):
+    """The frame, and an accumulator of the rows read from it: their number over the frame's is the number of scans."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    return df.mapInPandas(count, df.schema), seen
+
+
+def wide_frame(spark, rows, columns, seed=4):
+    rng = np.random.default_rng(seed)
+    data = pd.DataFrame(rng.lognormal(2, 1, (rows, columns)) + np.arange(columns) * 1e4, columns=[f"c{i}" for i in range(columns)])
+    data["c1"] = data["c0"] * -2 + rng.random(rows)
+    data["c2"] = 7.0
+    for c in data.columns[3::5]:
+        data.loc[rng.random(rows) < 0.3, c] = np.nan
+    data["c4"] = np.nan
+    data.loc[0, "c4"] = 1.0
+    saved = materialize(spark.createDataFrame(data).repartition(6))
+    return saved, data
+
+
+def test_wide_profile_takes_two_scans(spark):
+    df, data = wide_frame(spark, 700, 432)
+    data["c9"] = data["c9"].round(-1)  # ties across brackets
+    df = df.withColumn("c9", F.round("c9", -1)).withColumn("c8", F.lit(None).cast("double"))
+    counted, seen = counted_rows(spark, df)
+    found = {r["column"]: r for r in numeric_profile(counted, df.columns).collect()}
+    assert seen.value == 2 * 700 and len(found) == 432
+    assert found["c8"]["count"] == 0 and found["c8"]["missing_fraction"] == 1 and found["c8"]["q50"] is None
+    for c in ("c0", "c2", "c3", "c4", "c9", "c431"):
+        x = data[c].dropna()
+        r = found[c]
+        assert r["count"] == len(x) and r["missing_fraction"] == pytest.approx(data[c].isna().mean(), abs=1e-6)
+        assert [r["mean"], r["std"], r["min"], r["max"]] == pytest.approx([x.mean(), x.std(ddof=0), x.min(), x.max()])
+        assert [r[q] for q in ("q01", "q05", "q50", "q95", "q99")] == pytest.approx(list(np.quantile(x, [0.01, 0.05, 0.5, 0.95, 0.99])))
+
+
+def test_column_statistics_survive_a_bad_sketch(spark, monkeypatch):
+    from millrace.operators import ordered
+
+    df, data = wide_frame(spark, 300, 6)
+    monkeypatch.setattr(ordered.F, "percentile_approx", lambda c, points, accuracy: F.array(*[F.max(c)] * len(points)))
+    found = ordered.column_statistics(df, df.columns, [0.25, 0.5], task_rows=50)
+    for c in df.columns:
+        assert found[c]["quantiles"] == pytest.approx(list(np.quantile(data[c].dropna(), [0.25, 0.5])))
+
+
+def test_correlations_of_400_columns_in_one_scan(spark):
+    df, data = wide_frame(spark, 600, 400)
+    counted, seen = counted_rows(spark, df)
+    found = {(r["left"], r["right"]): r["corr"] for r in correlations(counted, df.columns).collect()}
+    assert seen.value == 600 and len(found) == 400 * 399 // 2
+    want = data.corr(min_periods=2)
+    for (a, b), value in list(found.items())[::97] + [((a, b), found[a, b]) for a, b in (("c0", "c1"), ("c0", "c2"), ("c0", "c4"), ("c3", "c8"))]:
+        expected = want.loc[a, b]
+        assert value is None if expected != expected else value == pytest.approx(expected, abs=1e-9)
+    assert found["c0", "c1"] < -0.99 and found["c0", "c2"] is None and found["c0", "c4"] is None
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_whole_row_duplicates_by_fingerprints(spark, weak):
+    """Rows equal in all columns, NULLs included; also with a fingerprint that collides all the time."""
+    from millrace.operators import joins
+
+    rng = np.random.default_rng(6)
+    rows = [(int(a), None if b == 3 else f"v{b}", float(a) / 2 if b else None, bool(b % 2), None) for a, b in rng.integers(0, 7, (300, 2))]
+    rows += [(None, "1", None, None, None), (1, None, None, None, None), (99, "hot", 0.0, True, None), *[(98, "hot", -0.0 if i % 2 else 0.0, True, None) for i in range(150)]]
+    df = spark.createDataFrame(rows, "a int, b string, c double, d boolean, e string").repartition(5)
+    count = Counter(rows)
+    want = sum(n for n in count.values() if n > 1)
+    prints = (lambda columns: [F.pmod(F.hash(columns[0]), F.lit(2))]) if weak else joins.fingerprint
+    some, total = joins.possible_duplicates(df, df.columns, prints)
+    assert total == len(rows) and some.columns == df.columns and some.count() >= want and (weak or some.count() == want)
+    assert tuple(duplicate_summary(df, df.columns).first()) == (len(rows), want)
+    assert Counter(map(tuple, joins.duplicate_members(df, df.columns).collect())) == Counter({r: n for r, n in count.items() if n > 1})
+    assert sum(r["n"] for r in joins.count_duplicates(df, df.columns).collect()) == want
+    assert tuple(duplicate_summary(df.where("a < 0"), df.columns).first()) == (0, 0)
+
+
+def test_many_classes_become_a_table(spark, monkeypatch):
+    from millrace.operators import encoders, quality
+
+    df = spark.range(60).select((F.col("id") % 20).cast("string").alias("y"), (F.col("id") * 1.0).alias("x"))
+    monkeypatch.setattr(quality, "TARGET_CLASSES_LISTED", 10)
+    _, metrics = quality.check_balance(df, "y")
+    assert "class_counts" not in metrics and {r["n"] for r in spark.read.parquet(metrics["class_counts_table"]).collect()} == {3}
+    monkeypatch.setattr(encoders, "MAX_CLASSES", 10)
+    with pytest.raises(ValueError, match="more than 10"):
+        encoders.anova_scores(df, ["x"], "y")

@@ -97,3 +97,32 @@ def test_many_first_rows(spark, monkeypatch):
     monkeypatch.setattr(tables, "TOP_ROWS", 10)
     assert sorted(str(r["k"]) for r in tables.bounded_scan(df, 1001, "k").collect()) == few and len(few) == 1001
     assert tables.bounded_scan(df, 2900, "k").count() == nulls == 2900
+
+
+def test_tables_are_replaced_as_a_whole(spark, tmp_path):
+    """A write that fails midway, and a run that ended between the two moves, leave the old table; a table may be written over itself."""
+    folder = tmp_path / "shelf"
+    path = str(folder / "t.parquet")
+    tables.write_table(spark.range(5), path)
+    broken = spark.range(100).repartition(4).select(F.when(F.col("id") == 77, F.raise_error(F.lit("lost"))).otherwise(F.col("id").cast("string")).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        tables.write_table(broken, path)
+    assert tables.read_table(spark, path).count() == 5 and [f.name for f in folder.iterdir() if not f.name.startswith(".")] == ["t.parquet"]
+    tables.write_table(tables.read_table(spark, path).where("id > 1"), path)
+    assert sorted(r["id"] for r in tables.read_table(spark, path).collect()) == [2, 3, 4]
+    (folder / "t.parquet").rename(folder / "t.parquet.old-1")  # as if the run had ended here
+    assert tables.path_exists(spark, path) and tables.read_table(spark, path).count() == 3
+
+
+def test_findings_and_profiles_are_replaced_as_a_whole(spark, tmp_path):
+    profile = {p: spark.range(2).withColumn("part", F.lit(p)) for p in ("columns", "numeric", "categorical", "distribution")}
+    path = str(tmp_path / "profile")
+    tables.save_profile(profile, path)
+    bad = {**profile, "distribution": spark.range(1).select(F.raise_error(F.lit("lost")).cast("long").alias("id"))}
+    with pytest.raises(Exception, match="lost"):
+        tables.save_profile({p: d.union(d) if p != "distribution" else d for p, d in bad.items()}, path)
+    assert {p: d.count() for p, d in tables.load_profile(spark, path).items()} == dict.fromkeys(profile, 2)
+    issues, metrics = spark.createDataFrame([("a", 1)], "check string, n int"), spark.createDataFrame([("m", 2)], "metric string, n int")
+    for _ in range(2):
+        tables.save_findings(issues, metrics, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report" / "issues")).count() == 1 and sorted(f.name for f in (tmp_path / "report").iterdir()) == ["issues", "metrics"]
