@@ -25,7 +25,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         after = scratch.save(small.select("e.u", "e.v").where("u <> v").distinct())
-        scratch.free(now)
+        scratch.free(now, shuffles=False)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
