@@ -77,9 +77,9 @@ class Group:
         self.size = words + 1  # with the end
         stop = np.cumsum(self.size) - 1
         hashes = np.insert(Stream(data).hashes(begin, length), np.cumsum(words), END)
-        self.ids = np.unique(np.append(hashes, BEGIN))
-        self.token = np.searchsorted(self.ids, hashes).astype(np.int32)
-        del data, inside, hashes
+        self.ids, token = np.unique(np.append(hashes, BEGIN), return_inverse=True)
+        self.token = token[:-1].astype(np.int32)
+        del data, inside, hashes, token
         before = np.concatenate((self.token[-1:], self.token[:-1])).astype(np.int64)
         before[stop - self.size + 1] = np.searchsorted(self.ids, BEGIN)
         learned = np.repeat(docs["learned"].to_numpy(bool), self.size)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..session import Scratch
 from .common import mix, powers
 from .exchange import cuts, scaled
-from .words import word_hashes
+from .words import text_hashes
 
 ROUNDS = 3
 _PAIR, _RUN = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -160,14 +160,9 @@ def _both_in(known: tuple[np.ndarray, np.ndarray], value: np.ndarray, extra: np.
     return hit
 
 
-def _words(text: str | None, seed: int = 0) -> np.ndarray:
-    return word_hashes(text.encode(), seed) if text else np.empty(0, np.uint64)
-
-
 def name_step(docs: pd.DataFrame, window: int, ranges: int) -> pd.DataFrame:
     names = [np.empty(0, np.uint64)]
-    for text in docs["text"]:
-        words = _words(text)
+    for words in text_hashes(docs["text"]):
         if len(words) >= window:
             name, low, high = symbols(words)
             names.append(name[(low >= 0) & (high <= len(words)) & (high - low <= window)])
@@ -178,12 +173,11 @@ def window_step(docs: pd.DataFrame, replies: pd.DataFrame, window: int, ranges:
     if not len(docs):
         return blocks(0, np.empty(0, np.uint64), None, ranges)
     (known, _), first, second = _answers(replies), [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
-    for text in docs["text"]:
-        words = _words(text)
+    for words, others in zip(text_hashes(docs["text"]), text_hashes(docs["text"], 1)):
         if len(words) >= window:
             maybe = possible(words, window, lambda x: ~_isin(known, x))
             if maybe.any():
-                a, b = windows(words, _words(text, 1), window)
+                a, b = windows(words, others, window)
                 first.append(a[maybe])
                 second.append(b[maybe])
     return blocks(int(docs["grp"].iloc[0]), np.concatenate(first), np.concatenate(second), ranges)
@@ -191,11 +185,11 @@ def window_step(docs: pd.DataFrame, replies: pd.DataFrame, window: int, ranges:
 
 def cover_step(docs: pd.DataFrame, replies: pd.DataFrame, window: int, with_text: bool) -> pd.DataFrame:
     known, out = _answers(replies), []
-    for row, text in zip(docs["row"], docs["text"]):
+    for row, text, first, second in zip(docs["row"], docs["text"], text_hashes(docs["text"]), text_hashes(docs["text"], 1)):
         words = (text or "").encode().split()
         kept, gone = words, 0
         if len(words) >= window and len(known[0]):
-            hit = np.flatnonzero(_both_in(known, *windows(_words(text), _words(text, 1), window)))
+            hit = np.flatnonzero(_both_in(known, *windows(first, second, window)))
             if len(hit):
                 change = np.zeros(len(words) + 1, np.int64)
                 change[hit] = 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import xxhash
 
@@ -63,9 +65,39 @@ class Stream:
         return same
 
 
-def word_hashes(raw: bytes, seed: int = 0) -> np.ndarray:
-    """XXH64 of each word of a text, in order; words are runs of bytes other than ASCII white space."""
-    data = np.frombuffer(raw, np.uint8)
-    inside = np.concatenate(([False], ~_IS_SPACE[data], [False]))
-    turns = np.flatnonzero(inside[1:] != inside[:-1])
-    return Stream(data).hashes(turns[::2], turns[1::2] - turns[::2], seed)
+BLOCK = 4_000_000  # bytes of text hashed together
+
+
+def flat_hashes(texts: Sequence[str | None], seeds: Sequence[int] = (0,), lower: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+    """XXH64 of the words of all texts, one array a seed, and the number of words of each text. Words are runs of bytes other than ASCII
+    white space. Texts are taken together in blocks, as most are short; A-Z turn into small letters on request."""
+    found: list[list[np.ndarray]] = [[np.empty(0, np.uint64)] for _ in seeds]
+    words: list[np.ndarray] = [np.empty(0, np.int64)]
+    held, size = [], 0
+
+    def take() -> None:
+        raw = b" ".join([*held, b""])
+        data = np.frombuffer(raw.lower() if lower else raw, np.uint8)
+        inside = np.concatenate(([False], ~_IS_SPACE[data]))
+        turns = np.flatnonzero(inside[1:] != inside[:-1])
+        begin, length = turns[::2], turns[1::2] - turns[::2]
+        stream = Stream(data)
+        for out, seed in zip(found, seeds):
+            out.append(stream.hashes(begin, length, seed))
+        words.append(np.diff(np.searchsorted(begin, np.cumsum([len(t) + 1 for t in held])), prepend=0))
+
+    for text in texts:
+        held.append((text or "").encode())
+        size += len(held[-1])
+        if size > BLOCK:
+            take()
+            held, size = [], 0
+    if held:
+        take()
+    return [np.concatenate(out) for out in found], np.concatenate(words)
+
+
+def text_hashes(texts: Sequence[str | None], seed: int = 0) -> list[np.ndarray]:
+    """The word hashes of every text."""
+    (flat,), words = flat_hashes(texts, (seed,))
+    return np.split(flat, np.cumsum(words)[:-1]) if len(words) else []
