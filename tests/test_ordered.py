@@ -156,3 +156,19 @@ def test_no_bins_without_values(spark):
 
     empty = spark.createDataFrame([(None, 1), (None, 0)], "x double, y int")
     assert rate_by_quantile_bin(empty, "x", "y").count() == 0
+
+
+def test_quantiles_of_many_columns(spark):
+    """Forty projected columns: a condition on all of them at once took the optimizer's memory."""
+    rows = spark.range(400).select(*[F.when(F.col("id") % (i + 3) != 0, (F.col("id") * (i + 1)) % 101).alias(f"c{i}") for i in range(40)])
+    found = exact_quantiles(rows, rows.columns, [0.25, 0.5], task_rows=400)
+    values = rows.toPandas()
+    for c in rows.columns:
+        assert found[c] == pytest.approx(list(values[c].astype(float).quantile([0.25, 0.5])))
+
+
+def test_quantiles_with_nan(spark):
+    """NaN is above all numbers, for one bracket and for several that meet there."""
+    rows = spark.createDataFrame([(float(i),) if i < 60 else (float("nan"),) for i in range(100)], "v double")
+    low, high, top = exact_quantiles(rows, ["v"], [0.1, 0.9, 1.0], task_rows=5, accuracy=100)["v"]
+    assert low == pytest.approx(9.9) and np.isnan(high) and np.isnan(top)
