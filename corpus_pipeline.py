@@ -32,7 +32,7 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (Jaccard similarity 0.8 or more over five-word shingles), keeps the row of the smallest id, null last.
-    The stage has its name from its place: candidates come from an exact prefix filter, as SimHash would miss copies near 0.8."""
+    Texts of linked SimHash fingerprints are compared first; an exact prefix filter finds the copies near 0.8 that SimHash would miss."""
     return keep_one(docs)
 
 

@@ -5,9 +5,12 @@ that are near must share a shingle among the first tenth or so of the smaller an
 rarest shingles: a text with a fifth of its own is paired with nothing, and a passage that many texts share comes last and pairs none of them.
 Counts are asked for by groups of texts, of shingles cut to 48 bits, which is enough for an order.
 
-Rows that share such a shingle are first tied by stars: in each of a few rounds every shingle's rows are compared with
-one of them, and shingles whose rows have become one component are done, so a crowd of near copies takes a few pairs a row. Rows of what is then
-left are compared pair by pair unless already tied. Every pair is decided on whole sets.
+SimHash comes first: texts whose fingerprints, of the same shingles, are linked at two bits are each compared with one of their group, and those
+that are near are tied. The prefix filter is there for the near copies whose fingerprints lie further apart, so none is lost.
+
+Rows that share such a shingle are then tied by stars: in each of a few rounds every shingle's rows are compared with
+one of them, the one with the fewest shingles of its own first, and shingles whose rows have become one component are done, so a crowd of near
+copies takes a few pairs a row. Rows of what is then left are compared pair by pair unless already tied. Every pair is decided on whole sets.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ from ..session import Scratch
 from .common import mix, powers
 from .components import components
 from .exchange import QUESTIONS, REPLIES, questions, read_replies, replies
+from .neardup import links as linked_prints
 from .words import flat_hashes
 
 WORDS, SHARE = 5, (4, 5)  # similarity as a fraction of whole numbers
-BITS, STARS = 48, 6
-# Stars end when joining the rest takes a few pairs a row, or when a round has settled little and the rest is one small join.
-FEW, MANY = 8, 50_000_000
+BITS, STARS = 48, 10
+FEW = 2  # stars end when joining the rest takes so many pairs a row
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -93,13 +96,20 @@ def indexed(n: int) -> int:
     return n + -(n * 2 * up) // (up + down) + 1
 
 
+def simhash(grams: np.ndarray) -> int:
+    """The fingerprint of a set of shingles, as a signed long: a bit is 1 if it is set in over half of them."""
+    bits = np.unpackbits(np.ascontiguousarray(grams).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(grams), bitorder="little").view(np.int64)[0])
+
+
 def _ask(docs: pd.DataFrame, owners: int) -> pd.DataFrame:
     keys, counts = np.unique(shingle_sets(docs["text"].tolist())[1] >> np.uint64(64 - BITS), return_counts=True)
     return questions(int(docs["grp"].iloc[0]), keys, counts, owners, BITS)
 
 
 def _mark(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    """The texts with a shingle among their first that other texts may have: those shingles, and the whole set."""
+    """The texts with a shingle among their first that other texts may have: those shingles, the whole set, its fingerprint, and how many
+    of its shingles no other text has."""
     out = []
     if len(docs):
         owner, grams = shingle_sets(docs["text"].tolist())
@@ -107,6 +117,7 @@ def _mark(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         often = read_replies(answers)[np.unique(short, return_inverse=True)[1]]
         size = np.bincount(owner, minlength=len(docs))
         start = np.cumsum(size) - size
+        alone = np.bincount(owner[often == 1], minlength=len(docs))
         order = np.argsort(_narrow(np.minimum(often, 65_535)), kind="stable")  # ties, and the most frequent, by shingle
         order = order[np.argsort(_narrow(owner[order]), kind="stable")]
         place = np.arange(len(order)) - start[owner]  # texts keep their stretch of the sorted order
@@ -115,8 +126,8 @@ def _mark(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         for some in np.split(hit, np.flatnonzero(np.diff(owner[hit])) + 1) if len(hit) else []:
             i = owner[some[0]]
             whole = grams[start[i] : start[i] + size[i]]
-            out.append((rows[i], int(size[i]), grams[order[some]].view(np.int64), place[some], whole.tobytes()))
-    return pd.DataFrame(out, columns=["row", "n", "grams", "places", "all"])
+            out.append((rows[i], int(size[i]), grams[order[some]].view(np.int64), place[some], whole.tobytes(), simhash(whole), int(alone[i])))
+    return pd.DataFrame(out, columns=["row", "n", "grams", "places", "all", "print", "alone"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,6 +142,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(_verify, "a long, b long")
 
 
+def simhash_pairs(marked: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): every row (row, print) of a group of linked fingerprints, with the group's smallest row."""
+    prints = scratch.save(marked.groupBy("print").agg(F.min("row").alias("least")))
+    roots = components(linked_prints(prints, prints.count()), scratch)
+    rooted = scratch.save(prints.join(roots, F.col("print") == F.col("node"), "left").select("print", F.coalesce("root", "print").alias("root"), "least"))
+    centres = rooted.groupBy("root").agg(F.min("least").alias("b"))
+    return marked.select("row", "print").join(rooted.join(centres, "root").select("print", "b"), "print").where("row <> b").select(F.col("row").alias("a"), "b")
+
+
 def near_links(texts: DataFrame, scratch: Scratch, group_bytes: int = 12_000_000, owner_bytes: int = 8_000_000) -> DataFrame:
     """Links (a, b) between rows of a written table (row, text), enough to connect every two near copies."""
     size, n = texts.agg(F.sum(F.octet_length("text").cast("long") + 1), F.count(F.lit(1))).first()
@@ -139,32 +159,34 @@ def near_links(texts: DataFrame, scratch: Scratch, group_bytes: int = 12_000_000
     rows = texts.select("row", "text", F.pmod(F.xxhash64("row"), F.lit(groups)).alias("grp"))
     answers = scratch.save(rows.groupBy("grp").applyInPandas(lambda d: _ask(d, owners), QUESTIONS).groupBy("owner").applyInPandas(replies, REPLIES))
     scratch.free()
-    marked = scratch.save(rows.groupBy("grp").cogroup(answers.groupBy("grp")).applyInPandas(_mark, "row long, n long, grams array<long>, places array<int>, all binary"))
+    marked = scratch.save(rows.groupBy("grp").cogroup(answers.groupBy("grp")).applyInPandas(_mark, "row long, n long, grams array<long>, places array<int>, all binary, print long, alone long"))
     scratch.free(answers)
     sets = marked.select("row", "all")
-    held = marked.select("row", "n", F.explode(F.arrays_zip("grams", "places")).alias("g")).select("row", "n", F.col("g.grams").alias("gram"), F.col("g.places").alias("place"))
+    held = marked.select("row", "n", "alone", F.explode(F.arrays_zip("grams", "places")).alias("g")).select("row", "n", "alone", F.col("g.grams").alias("gram"), F.col("g.places").alias("place"))
     up, down = SHARE
     reach = F.col("n") + F.ceil(-F.col("n") * (2 * up) / (up + down)) + 1  # never below indexed(n)
     several = held.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"), F.max((F.col("place") <= reach).cast("int")).alias("found")).where("rows > 1 AND found = 1")
     held = scratch.save(held.join(several.select("gram"), "gram").withColumn("root", F.col("row")))
-    links, before_rows = None, None
-    for turn in range(STARS):
-        rows, pairs_left = held.groupBy("gram").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.lit(0))).first()
-        if pairs_left <= FEW * rows or (before_rows is not None and rows > 0.9 * before_rows and pairs_left <= MANY):
-            break
-        before_rows = rows
-        mid = held.groupBy("gram").agg(F.min(F.struct(F.xxhash64("row", F.lit(turn)).alias("h"), "row", "root", "n")).alias("mid"), F.min("root").alias("low"), F.max("root").alias("high"))
-        open_ = mid.where("low < high").select("gram", F.col("mid.row").alias("b"), F.col("mid.root").alias("own"), F.col("mid.n").alias("size"))
-        pairs = scratch.save(held.join(open_, "gram").where(f"root <> own AND least(n, size) * {down} >= greatest(n, size) * {up}").select(F.col("row").alias("a"), "b").distinct())
-        found = scratch.save(verified(pairs, sets))
-        scratch.free(pairs, shuffles=False)
+    found, links = scratch.save(verified(simhash_pairs(marked, scratch), sets)), None
+    for turn in range(STARS + 1):
         if not found.isEmpty():
             links = found if links is None else scratch.save(links.unionByName(found))
             roots = components(links, scratch)
-            named = held.drop("root").join(roots, F.col("row") == F.col("node"), "left").select("row", "n", "gram", "place", F.coalesce("root", "row").alias("root"))
+            named = held.drop("root").join(roots, F.col("row") == F.col("node"), "left").select("row", "n", "alone", "gram", "place", F.coalesce("root", "row").alias("root"))
             left = named.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("gram")
             before, held = held, scratch.save(named.join(left, "gram"))
             scratch.free(before, shuffles=False)
+        sizes = held.groupBy("gram", "root").count().groupBy("gram").agg(F.sum("count").alias("rows"), F.sum(F.col("count") * F.col("count")).alias("tied"))
+        rows, pairs_left = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum((F.col("rows") * F.col("rows") - F.col("tied")) / 2), F.lit(0))).first()
+        if turn == STARS or pairs_left <= FEW * rows:
+            break
+        # First the row with the least of its own; later that of some component, so that small ones get their turn.
+        first = [F.col("alone")] if turn == 0 else [F.xxhash64("root", F.lit(turn)).alias("h"), F.col("alone")]
+        mid = held.groupBy("gram").agg(F.min(F.struct(*first, F.xxhash64("row", F.lit(turn)).alias("g"), "row", "root", "n")).alias("mid"), F.min("root").alias("low"), F.max("root").alias("high"))
+        open_ = mid.where("low < high").select("gram", F.col("mid.row").alias("b"), F.col("mid.root").alias("own"), F.col("mid.n").alias("size"))
+        pairs = scratch.save(held.join(open_, "gram").where(f"root <> own AND least(n, size) * {down} >= greatest(n, size) * {up}").select(F.col("row").alias("a"), "b").distinct())
+        found = scratch.save(verified(pairs, sets))
+        scratch.free(pairs, shuffles=False)
     # What is left: the smaller text by a shingle it is indexed by, and the larger; as many shared at most as their places allow.
     small, large = held.where(F.col("place") <= reach), held.select("gram", *[F.col(c).alias(f"{c}2") for c in ("row", "n", "place", "root")])
     able = f"""root <> root2 AND (n < n2 OR n = n2 AND row < row2) AND n * {down} >= n2 * {up}
