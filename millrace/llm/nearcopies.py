@@ -5,8 +5,8 @@ that are near must share a shingle among the first tenth or so of the smaller an
 rarest shingles: a text with a fifth of its own is paired with nothing, and a passage that many texts share comes last and pairs none of them.
 Counts are asked for by groups of texts, of shingles cut to 48 bits, which is enough for an order.
 
-SimHash comes first: texts whose fingerprints, of the same shingles, are linked at two bits are each compared with one of their group, and those
-that are near are tied. The prefix filter is there for the near copies whose fingerprints lie further apart, so none is lost.
+SimHash comes first: of the texts that share such a shingle, those whose fingerprints, of the same shingles, are linked at two bits are each compared
+with one of their group, and tied if they are near. The prefix filter is there for the near copies whose fingerprints lie further apart, so none is lost.
 
 Rows that share such a shingle are then tied by stars: in each of a few rounds every shingle's rows are compared with
 one of them, the one with the fewest shingles of its own first, and shingles whose rows have become one component are done, so a crowd of near
@@ -167,7 +167,7 @@ def near_links(texts: DataFrame, scratch: Scratch, group_bytes: int = 12_000_000
     reach = F.col("n") + F.ceil(-F.col("n") * (2 * up) / (up + down)) + 1  # never below indexed(n)
     several = held.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"), F.max((F.col("place") <= reach).cast("int")).alias("found")).where("rows > 1 AND found = 1")
     held = scratch.save(held.join(several.select("gram"), "gram").withColumn("root", F.col("row")))
-    found, links = scratch.save(verified(simhash_pairs(marked, scratch), sets)), None
+    found, links = scratch.save(verified(simhash_pairs(marked.join(held.select("row").distinct(), "row", "left_semi"), scratch), sets)), None
     for turn in range(STARS + 1):
         if not found.isEmpty():
             links = found if links is None else scratch.save(links.unionByName(found))
