@@ -132,7 +132,7 @@ def _mark(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        near = [is_near(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        near = [is_near(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in zip(batch.column(2), batch.column(3))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
@@ -151,7 +151,7 @@ def simhash_pairs(marked: DataFrame, scratch: Scratch) -> DataFrame:
     return marked.select("row", "print").join(rooted.join(centres, "root").select("print", "b"), "print").where("row <> b").select(F.col("row").alias("a"), "b")
 
 
-def near_links(texts: DataFrame, scratch: Scratch, group_bytes: int = 12_000_000, owner_bytes: int = 8_000_000) -> DataFrame:
+def near_links(texts: DataFrame, scratch: Scratch, group_bytes: int = 5_000_000, owner_bytes: int = 8_000_000) -> DataFrame:
     """Links (a, b) between rows of a written table (row, text), enough to connect every two near copies."""
     size, n = texts.agg(F.sum(F.octet_length("text").cast("long") + 1), F.count(F.lit(1))).first()
     size = (size or 0) + n

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import inspect
 import random
+import tracemalloc
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import nearcopies
+from millrace.llm.exchange import replies
 from millrace.llm.nearcopies import is_near, keep_one, near_links, shared, shingles
 from millrace.session import Scratch
 from test_operators import DOCS, ROWS, smallest
@@ -146,3 +150,20 @@ def test_simhash_finds_the_close_ones(spark, monkeypatch):
     scratch = Scratch(spark)
     got = near_links(scratch.save(spark.createDataFrame(rows, "row long, text string")), scratch).collect()
     assert seen == [(1, 0)] and {tuple(sorted(r)) for r in got} == {(0, 1)}
+
+
+def test_a_group_of_texts_needs_little_memory():
+    """What counting and marking a group of the default size hold in arrays: two of them go beside Spark in a small executor."""
+    rng, size = random.Random(17), inspect.signature(near_links).parameters["group_bytes"].default
+    words = text_of(rng, 20_000)
+    texts = [" ".join(rng.choices(words, k=1000)) for _ in range(size // 6_890)]
+    docs = pd.DataFrame({"text": texts, "row": range(len(texts)), "grp": 0})
+    tracemalloc.start()
+    try:
+        asked = nearcopies._ask(docs, 3)
+        answers = pd.concat([replies(g) for _, g in asked.groupby("owner")])
+        nearcopies._mark(docs, answers)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 130_000_000
