@@ -8,7 +8,7 @@ takes its place, and a context that loses nothing gets one event more, so no pro
 
 Texts stay in groups; words are 64-bit hashes (XXH64). Counts live in tables partitioned by hash: every group sends its
 distinct words, then its distinct pairs, once each with their counts, as one compact row an owner; an owner adds them
-up and answers every group in the order of its question. A pair goes by its context, so an owner sees all that follows a word; contexts of very many
+up and answers every group in the order of its question. Owners of words number them, and pairs travel as such numbers, which take fewer bytes than hashes. A pair goes by its context, so an owner sees all that follows a word; contexts of very many
 occurrences are cut over many owners and their sums added up.
 """
 
@@ -114,23 +114,27 @@ def _stats(total: np.ndarray) -> list[int]:
     return [int(total.sum()), int((total > 0).sum()), *[int((total == r).sum()) for r in range(1, CUT + 2)]]
 
 
-def count_words(rows: pd.DataFrame) -> pd.DataFrame:
-    """For one owner: to every group the corpus counts of its words; and once the statistics of all the owner's words."""
+def count_words(rows: pd.DataFrame, owners: int) -> pd.DataFrame:
+    """For one owner: to every group the corpus counts of its words, and a number for each that no other word of the corpus has, small for
+    frequent ones; and once the statistics of all the owner's words."""
     ids, counts = [np.frombuffer(b, np.uint64) for b in rows["ids"]], [unpacked(b) for b in rows["counts"]]
     value, place = np.unique(np.concatenate(ids), return_inverse=True)
     total = np.zeros(len(value), np.int64)
     np.add.at(total, place, np.concatenate(counts))
+    number = np.empty(len(value), np.int64)
+    number[np.argsort(-total, kind="stable")] = np.arange(len(value)) * owners + int(rows["owner"].iloc[0])
     at = np.cumsum([0, *map(len, ids)])
-    out = [(g, o, packed(total[place[a:b]]), None) for g, o, a, b in zip(rows["grp"], rows["owner"], at[:-1], at[1:])]
-    out[0] = (*out[0][:3], _stats(total))
-    return pd.DataFrame(out, columns=["grp", "owner", "counts", "stats"])
+    out = [(g, o, packed(total[place[a:b]]), packed(number[place[a:b]]), None) for g, o, a, b in zip(rows["grp"], rows["owner"], at[:-1], at[1:])]
+    out[0] = (*out[0][:4], _stats(total))
+    return pd.DataFrame(out, columns=["grp", "owner", "counts", "numbers", "stats"])
 
 
 def send_pairs(docs: pd.DataFrame, replies: pd.DataFrame, owners: int, hot: int) -> pd.DataFrame:
     if not len(docs):
-        return pd.DataFrame(columns=["owner", "grp", "contexts", "runs", "context_counts", "words", "word_counts", "counts"])
+        return pd.DataFrame(columns=["owner", "grp", "contexts", "runs", "context_counts", "words", "word_counts", "counts", "hot"])
     group, grp = Group(docs), int(docs["grp"].iloc[0])
     known = group.known(replies, owners)
+    number = np.concatenate([unpacked(b) for b in replies.sort_values("owner")["numbers"]])
     owner = group.owner_of(known, hot, owners)
     order, rows = np.argsort(owner, kind="stable"), []
     for o, a, b in cuts(owner[order]):
@@ -138,13 +142,13 @@ def send_pairs(docs: pd.DataFrame, replies: pd.DataFrame, owners: int, hot: int)
         runs = cuts(group.context[some])
         context = np.array([c for c, _, _ in runs])
         rows.append((
-            o, grp, group.ids[context].tobytes(), packed(np.array([y - x for _, x, y in runs])), packed(known[context]),
-            group.ids[group.word[some]].tobytes(), packed(known[group.word[some]]), packed(group.pair_count[some]),
+            o, grp, packed(number[context]), packed(np.array([y - x for _, x, y in runs])), packed(known[context]),
+            packed(number[group.word[some]]), packed(known[group.word[some]]), packed(group.pair_count[some]), group.ids[context[known[context] > hot]].tobytes(),
         ))
-    return pd.DataFrame(rows, columns=["owner", "grp", "contexts", "runs", "context_counts", "words", "word_counts", "counts"])
+    return pd.DataFrame(rows, columns=["owner", "grp", "contexts", "runs", "context_counts", "words", "word_counts", "counts", "hot"])
 
 
-PAIRS = "owner int, grp long, contexts binary, runs binary, context_counts binary, words binary, word_counts binary, counts binary"
+PAIRS = "owner int, grp long, contexts binary, runs binary, context_counts binary, words binary, word_counts binary, counts binary, hot binary"
 ANSWERS = "grp long, owner int, counts binary, seen binary, lower binary, stats array<long>, context long, hot_seen array<long>, hot_lower double"
 
 
@@ -152,10 +156,12 @@ def count_pairs(rows: pd.DataFrame, single: Words, hot: int) -> pd.DataFrame:
     """For one owner: to every group the corpus counts of its pairs, and per context how many words were seen 1 to ``CUT`` times after it and
     the probability of all seen there by themselves. Hot contexts are answered by sums over owners, as rows of their own; once the counts of counts."""
     rows = rows.reset_index(drop=True)
-    runs = [unpacked(b) for b in rows["runs"]]
-    context = np.concatenate([np.repeat(np.frombuffer(b, np.uint64), n) for b, n in zip(rows["contexts"], runs)])
-    is_hot = np.concatenate([np.repeat(unpacked(b) > hot, n) for b, n in zip(rows["context_counts"], runs)])
-    word = np.concatenate([np.frombuffer(b, np.uint64) for b in rows["words"]])
+    runs, heads = [unpacked(b) for b in rows["runs"]], [unpacked(b) for b in rows["contexts"]]
+    above = [unpacked(b) > hot for b in rows["context_counts"]]
+    context = np.concatenate([np.repeat(h, n) for h, n in zip(heads, runs)])
+    is_hot = np.concatenate([np.repeat(a, n) for a, n in zip(above, runs)])
+    hot_ids = dict(zip(np.concatenate([h[a] for h, a in zip(heads, above)]).tolist(), np.concatenate([np.frombuffer(b, np.int64) for b in rows["hot"]]).tolist()))
+    word = np.concatenate([unpacked(b) for b in rows["words"]])
     count = np.concatenate([unpacked(b) for b in rows["counts"]])
     alone = np.concatenate([unpacked(b) for b in rows["word_counts"]])
     order = np.lexsort((word, context))
@@ -173,12 +179,12 @@ def count_pairs(rows: pd.DataFrame, single: Words, hot: int) -> pd.DataFrame:
     out, at, corpus = [], 0, total[place]
     for k, n in enumerate(runs):
         size = int(n.sum())
-        where = np.searchsorted(value, np.frombuffer(rows["contexts"][k], np.uint64))
+        where = np.searchsorted(value, heads[k])
         out.append((int(rows["grp"][k]), int(rows["owner"][k]), packed(corpus[at : at + size]), packed(seen[where].ravel()), lower[where].tobytes(), None, None, None, None))
         at += size
     out[0] = (*out[0][:5], _stats(total), None, None, None)
     for i in np.unique(of[is_hot[order][first]]).tolist():
-        out.append((None, None, None, None, None, None, int(value[i : i + 1].view(np.int64)[0]), seen[i].tolist(), float(lower[i])))
+        out.append((None, None, None, None, None, None, hot_ids[int(value[i])], seen[i].tolist(), float(lower[i])))
     kinds = {"long": "Int64", "int": "Int32"}  # nullable, as numbers beside nulls would turn into floats
     columns = [c.split() for c in ANSWERS.split(", ")]
     return pd.DataFrame({name: pd.Series(list(values), dtype=kinds.get(kind, "object")) for (name, kind), values in zip(columns, zip(*out))})
@@ -259,7 +265,7 @@ def score_texts(
     )
     words = scratch.save(
         rows.groupBy("grp").applyInPandas(lambda d: send_words(d, owners), "owner int, grp long, ids binary, counts binary")
-        .groupBy("owner").applyInPandas(count_words, "grp long, owner int, counts binary, stats array<long>")
+        .groupBy("owner").applyInPandas(lambda r: count_words(r, owners), "grp long, owner int, counts binary, numbers binary, stats array<long>")
     )
     single = Words(_summed(words))
     limit = hot or max(10_000, single.tokens // HOT_CONTEXTS)

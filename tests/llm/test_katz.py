@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from conftest import SF_DIR
+from millrace.llm import katz
 from millrace.llm.exchange import cuts, packed, unpacked
 from millrace.llm.katz import CUT, discounts, score_texts
 from test_operators import DOCS, ROWS
@@ -124,3 +127,16 @@ def test_discounts_lie_between_zero_and_one():
     for n in ([0] * 6, [5, 0, 0, 0, 0, 0], [10, 4, 3, 2, 1, 1], [1, 9, 0, 3, 8, 50], [6, 1, 1, 1, 1, 1]):
         factor = discounts(n)
         assert (factor > 0).all() and (factor <= 1).all() and (n[0] == 0 or (factor < 1).all())
+
+
+def test_pairs_travel_as_numbers():
+    """The words of a pair take fewer bytes than a hash, and no two words share a number, however many owners there are."""
+    rng, owners = random.Random(3), 5
+    docs = pd.DataFrame({"text": [" ".join(f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(200)) for _ in range(100)], "learned": True, "grp": 0})
+    asked = katz.send_words(docs, owners)
+    told = pd.concat([katz.count_words(g, owners) for _, g in asked.groupby("owner")])
+    numbers = np.concatenate([unpacked(b) for b in told["numbers"]])
+    assert len(set(numbers.tolist())) == len(numbers) == len(katz.Group(docs).ids)
+    sent = katz.send_pairs(docs, told, owners, 500)
+    assert sum(len(b) for b in sent["words"]) < 4 * sum(int(unpacked(b).sum()) for b in sent["runs"])
+    assert 0 < sum(len(b) for b in sent["hot"]) < sum(8 * len(unpacked(b)) for b in sent["contexts"])
