@@ -7,7 +7,6 @@ the language that needs the fewest phrases a byte describes it best.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +15,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .common import held_out
+from .common import held_out, kept, text_parts
 
 UNKNOWN = "und"
 CLASSES, BLOCK = 64, 512
+CHUNK = 4_000_000  # bytes of text parsed together
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -77,10 +77,14 @@ def automaton(sample: np.ndarray) -> np.ndarray:
     return table.astype(np.int32).ravel()
 
 
-@lru_cache(maxsize=2)
 def _fitted(samples: tuple[tuple[str, bytes], ...]) -> tuple[np.ndarray, list[tuple[str, np.ndarray]]]:
-    classes = byte_classes(dict(samples))
-    return classes, [(lang, automaton(classes[np.frombuffer(s, np.uint8)])) for lang, s in samples]
+    """Some 12 MB a language, kept for the worker's next tasks."""
+
+    def build() -> tuple[np.ndarray, list[tuple[str, np.ndarray]]]:
+        classes = byte_classes(dict(samples))
+        return classes, [(lang, automaton(classes[np.frombuffer(s, np.uint8)])) for lang, s in samples]
+
+    return kept(("languages", samples), build)
 
 
 def phrases(texts: list[bytes], samples: tuple[tuple[str, bytes], ...]) -> np.ndarray:
@@ -108,7 +112,7 @@ def phrases(texts: list[bytes], samples: tuple[tuple[str, bytes], ...]) -> np.nd
     return out
 
 
-def predict(texts: list[str | None], samples: tuple[tuple[str, bytes], ...], chunk: int = 4_000_000) -> tuple[list[str], list[float]]:
+def predict(texts: list[str | None], samples: tuple[tuple[str, bytes], ...], chunk: int = CHUNK) -> tuple[list[str], list[float]]:
     """Language and score of each text. The score is the runner-up's share of the phrases of both: 0.5 for a tie, 1 with one language."""
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     known = [i for i, t in enumerate(texts) if samples and t and _LETTER.search(t)]
@@ -160,9 +164,9 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     samples = learn(docs, doc_id, text, lang)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, scores = predict(batch.column(2).to_pylist(), samples)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        for part in (p for batch in batches for p in text_parts(batch, 2, CHUNK)):
+            langs, scores = predict(part.column(2).to_pylist(), samples)
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id")).schema[0].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text")).mapInArrow(
@@ -177,8 +181,8 @@ def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     at = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, _ = predict(batch.column(at).to_pylist(), samples)
-            yield batch.filter(pa.array([name != UNKNOWN for name in langs], pa.bool_()))
+        for part in (p for batch in batches for p in text_parts(batch, at, CHUNK)):
+            langs, _ = predict(part.column(at).to_pylist(), samples)
+            yield part.filter(pa.array([name != UNKNOWN for name in langs], pa.bool_()))
 
     return docs.mapInArrow(work, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .common import mix, powers
+from .common import forget, mix, powers
 from .components import components
 from .exchange import QUESTIONS, REPLIES, questions, read_replies, replies
 from .neardup import links as linked_prints
@@ -103,6 +103,7 @@ def simhash(grams: np.ndarray) -> int:
 
 
 def _ask(docs: pd.DataFrame, owners: int) -> pd.DataFrame:
+    forget()
     keys, counts = np.unique(shingle_sets(docs["text"].tolist())[1] >> np.uint64(64 - BITS), return_counts=True)
     return questions(int(docs["grp"].iloc[0]), keys, counts, owners, BITS)
 

@@ -16,6 +16,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import forget, text_parts
 from .tokencount import MODEL, pre_tokens
 from .unigram import Vocabulary, load
 
@@ -64,7 +65,7 @@ def segment_sorted(words: list[str], vocabulary: Vocabulary) -> Iterator[tuple[s
 class Encoder:
     """Encodes texts one after the other, and remembers up to ``most`` words."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 500_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, most: int = 100_000) -> None:
         self.vocabulary, self.most, self.known = vocabulary, most, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -106,16 +107,10 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
     vocabulary = load(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
         for batch in batches:
-            at = 0
-            while at < len(batch):  # some texts at a time
-                n, size = 0, 0
-                while at + n < len(batch) and (not n or size < chunk):
-                    value = batch.column(1)[at + n]
-                    size += len(value.as_buffer()) if value.is_valid else 0
-                    n += 1
-                part = batch.slice(at, n)
+            for part in text_parts(batch, 1, chunk):  # some texts at a time
                 texts = part.column(1).to_pylist()
                 packed = encoder.encode([t or "" for t in texts])
                 count = np.array([len(p) // 4 if t is not None else 0 for p, t in zip(packed, texts)], np.int32)
@@ -128,7 +123,6 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
                     exact = [None if t is None else decoder.decode(np.frombuffer(p, np.int32)) == b" " + t.encode() for t, p in zip(texts, packed)]
                     columns, names = [*columns, pa.array(exact, pa.bool_())], [*names, "exact"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-                at += n
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(work, f"doc_id {rows.schema[0].dataType.simpleString()}, n_pieces long, ids array<int>" + ", exact boolean" * verify)
